@@ -4,8 +4,9 @@
 joins the ids back and puts them in order by position; `decode` joins the token-byte table.
 
 Exploding every pre-token of every text to a row of its own would move several times the input, so positions are
-pre-aggregated: a block of about `BLOCK` bytes of whole texts is one row that holds its distinct pre-tokens and, as a
-packed array, the place of each position's pre-token among them. Only (block, distinct pre-token) pairs are shuffled.
+pre-aggregated: a block of about `BLOCK` bytes of whole texts holds its distinct pre-tokens and, as a packed array, the
+place of each position's pre-token among them. A block sends its distinct pre-tokens, dealt to PARTS by their hash, to the
+task that encodes all pre-tokens of that part, and gets their ids back; its packed positions are shuffled once.
 A null text counts as empty and gives no ids. Rows may repeat; each is encoded. Other columns are dropped.
 """
 
@@ -15,11 +16,13 @@ import base64
 import functools
 import heapq
 import re
+import zlib
 from array import array
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -27,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import chunks, materialize
+from annalist.llm.common import chunks
 
 BLOCK = 8 << 20
+PARTS = 64
+CACHE = 1_000_000
 RANKS = "byte_bpe_50k.tiktoken"
 
 _WIDE = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
@@ -83,24 +88,47 @@ def _merge_long(parts: list, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts if p is not None]
 
 
-def _pack(places: array) -> bytes:
-    """The bytes of the places, plane by plane, compressed."""
-    return zstandard.compress(np.frombuffer(places, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+def _pack(numbers: np.ndarray) -> bytes:
+    """The bytes of the numbers, plane by plane, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
+def _row(block: int, part: int, payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([payload], pa.list_(pa.binary()))], names=["block", "part", "payload"])
+
+
+ROW = "block long, part int, payload array<binary>"
+
+
 def _blocks(batches):
-    """One row per block: its texts' ids and pre-token counts, its distinct pre-tokens, and the places of all positions."""
+    """For each block a row of part -1 (ids, pre-token counts, packed places) and a row of distinct pre-tokens per part.
+
+    Places count the distinct pre-tokens part by part, in the order in which those rows hold them.
+    """
     task = TaskContext.get()
     base = (task.partitionId() if task else 0) << 32
     state = None
 
-    def row():
+    def rows():
         known, places, ids, sizes, _ = state
-        return pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([_pack(places)], pa.binary()), pa.array([list(known)], pa.list_(pa.string()))], names=["block", "ids", "sizes", "places", "words"])
+        words = list(known)
+        parts = np.array([zlib.crc32(w.encode()) % PARTS for w in words], np.int64)
+        # Frequent pre-tokens first, so that their places are small numbers and pack well.
+        flat = np.frombuffer(places, np.uint32)
+        order = np.lexsort((-np.bincount(flat, minlength=len(words)), parts))
+        rank = np.empty(len(words), np.uint32)
+        rank[order] = np.arange(len(words), dtype=np.uint32)
+        yield _row(base, -1, [np.array(ids, np.int64).tobytes(), np.array(sizes, np.uint32).tobytes(), _pack(rank[flat])])
+        bounds = np.searchsorted(parts[order], np.arange(PARTS + 1))
+        for p in range(PARTS):
+            own = [words[i] for i in order[bounds[p] : bounds[p + 1]]]
+            if own:
+                lens = np.array([len(w.encode()) for w in own], np.uint32)
+                yield _row(base, p, [zstandard.compress(lens.tobytes(), 3), zstandard.compress("".join(own).encode(), 3)])
 
     for batch in chunks(batches, "text", BLOCK):
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -113,57 +141,66 @@ def _blocks(batches):
             ids.append(key), sizes.append(len(found))
             state = (known, places, ids, sizes, total + len(text or ""))
             if state[4] >= BLOCK:
-                yield row()
+                yield from rows()
                 base, state = base + 1, None
     if state:
-        yield row()
+        yield from rows()
+
+
+def _only_words(batches):
+    for batch in batches:
+        yield batch.filter(pc.greater_equal(batch.column("part"), 0))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """(id_col long, tokens binary): the token ids of each text as little-endian unsigned 32-bit integers."""
     path = ranks_path or public_tokenizers.path(RANKS)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    blocks = materialize(texts.mapInArrow(_blocks, "block long, ids array<long>, sizes array<int>, places binary, words array<string>"), "blocks")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    deal = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = texts.mapInArrow(_blocks, ROW).repartition(deal, "block")
 
     def run(batches):
-        ranks = load_ranks(path)
-        for batch in batches:
-            codes = [np.array(merge_word(w.encode(), ranks), "<u4").tobytes() for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(codes, pa.binary())], names=["word", "code"])
-
-    used = blocks.select("block", F.posexplode("words").alias("place", "word"))
-    codes = used.select("word").distinct().mapInArrow(run, "word string, code binary")
-    # A block's list is bounded by the block's own pre-tokens.
-    books = used.join(codes, "word").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", "code"))).code.alias("book"))
-    whole = blocks.select("block", "ids", "sizes", "places").join(books, "block", "left")
-
-    def assemble(batches):
+        # A part's distinct pre-tokens are encoded once each; the cache holds those of the parts at hand.
+        ranks, cache = load_ranks(path), {}
         for batch in batches:
-            for row in batch.to_pylist():
-                book = row["book"] or []
-                flat = np.frombuffer(b"".join(book), "<u4")
-                lens = np.array([len(x) // 4 for x in book], np.int64)
-                starts = np.cumsum(lens) - lens
-                places, at = _unpack(row["places"]), 0
-                keys, out = [], []
-                for key, size in zip(row["ids"], row["sizes"], strict=True):
-                    own = places[at : at + size]
-                    at += size
-                    n = lens[own]
-                    total = int(n.sum())
-                    index = np.arange(total) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
-                    keys.append(key), out.append(flat[index].tobytes())
-                    if len(keys) == 256:
-                        yield _token_rows(keys, out)
-                        keys, out = [], []
-                if keys:
-                    yield _token_rows(keys, out)
-
-    return whole.mapInArrow(assemble, "id long, tokens binary").toDF(id_col, "tokens")
-
-
-def _token_rows(keys: list, out: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["id", "tokens"])
+            for block, part, (lens, flat) in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "payload")), strict=True):
+                ends = np.cumsum(np.frombuffer(zstandard.decompress(lens), np.uint32)).tolist()
+                flat = zstandard.decompress(flat)
+                codes, start = [], 0
+                if len(cache) > CACHE:
+                    cache.clear()
+                for end in ends:
+                    word = flat[start:end]
+                    start = end
+                    code = cache.get(word)
+                    if code is None:
+                        code = cache[word] = np.array(merge_word(word, ranks), "<u4").tobytes()
+                    codes.append(code)
+                sizes = np.array([len(c) // 4 for c in codes], np.uint32)
+                yield _row(block, part, [_pack(sizes), _pack(np.frombuffer(b"".join(codes), np.uint32))])
+
+    # mapInArrow drops the position rows, not a filter, so that both uses of `blocks` read one and the same exchange.
+    codes = blocks.mapInArrow(_only_words, ROW).repartition(deal, "part").mapInArrow(run, ROW)
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        head = [p for part, p in zip(left.column("part").to_pylist(), left.column("payload").to_pylist(), strict=True) if part < 0]
+        if not head:
+            return pa.table({"id": pa.array([], pa.int64()), "tokens": pa.array([], pa.binary())})
+        books = sorted(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True), key=lambda b: b[0])
+        lens = np.concatenate([_unpack(b[0]) for _, b in books] or [np.zeros(0, np.uint32)]).astype(np.int64)
+        flat = np.concatenate([_unpack(b[1]) for _, b in books] or [np.zeros(0, np.uint32)])
+        starts = np.cumsum(lens) - lens
+        (ids, sizes, places), at, out = head[0], 0, []
+        places = _unpack(places)
+        for size in np.frombuffer(sizes, np.uint32).tolist():
+            own = places[at : at + size]
+            at += size
+            n = lens[own]
+            index = np.arange(int(n.sum())) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
+            out.append(flat[index].astype("<u4").tobytes())
+        return pa.table({"id": pa.array(np.frombuffer(ids, np.int64)), "tokens": pa.array(out, pa.binary())})
+
+    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(assemble, "id long, tokens binary").toDF(id_col, "tokens")
 
 
 def decode(tokens: DataFrame, tokens_col: str = "tokens", ranks_path: str | None = None) -> DataFrame:
