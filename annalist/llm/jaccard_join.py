@@ -9,7 +9,8 @@ How it runs at scale:
   2. One pass makes each text's shingles, ordered rarest first by the count of their rarest word, which bounds the
      shingle's own count from above. Only the prefix that a partner must share is kept; shingles whose rarest word
      occurs once in the corpus occur once themselves and are left out (their positions still count).
-  3. Equal sets are one class, so copies never multiply pairs. Keys of a single class are dropped by an aggregation.
+  3. Equal sets are one class, so copies never multiply pairs. Entries travel packed, once, and keys of a single class
+     are dropped where the entries meet; only first entries of keys are held there.
   4. Round one links every member of a key's group to the hub of its size band and of the next (linear in the group), which merges
      groups of near copies, however large. Round two then pairs only members of *different* components that share
      a key, under the suffix filter: parity bitmaps bound how much two whole sets can have in common. Every pair is distinct before it is verified against whole sets, so no link between components is lost,
@@ -23,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import chunks, connected_components, materialize
-from annalist.llm.shingles import shingles, words
+from annalist.llm.shingles import mix, shingles, words
 
 COUNTERS = 1 << 20
 SLICES = 32
 SEEN = 200_000
+PART_ENTRIES = 1_500_000
 BAND = 1.08
-BITMAP = 16  # 64-bit words of a set's parity bitmap
+BITMAP = 4  # 64-bit words of a set's parity bitmap
 
 
 def word_counts(texts: DataFrame, column: str = "text", counters: int = COUNTERS) -> np.ndarray:
@@ -74,36 +77,123 @@ def index_length(n: int, percent: int) -> int:
     return n - -(-2 * n * percent // (100 + percent)) + 1
 
 
-def signatures(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataFrame:
-    """One row per text: id, n (set size), c (hash of the set), keys and places (prefix shingles that may be shared), bits.
+def set_code(h: np.ndarray) -> int:
+    """A signed 64-bit hash of a set of shingle hashes; sets are told apart by it and their size."""
+    code = int(h.sum(dtype=np.uint64) ^ np.uint64(len(h))) if len(h) else 0
+    return code - (1 << 64) if code >= 1 << 63 else code
+
+
+def signatures(docs: DataFrame, k: int) -> DataFrame:
+    """One row per text: id, n (set size), c (hash of the set), bits.
 
     bits is the parity bitmap: bit j tells whether an odd number of the set's shingles fall into hash range j. The bits
     in which two bitmaps differ are a lower bound of the number of shingles that only one of the sets has.
     """
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    shift = np.uint64(64 - int(np.log2(64 * BITMAP)))
 
     def run(batches):
-        counts, seen = held.value, set()
         for batch in chunks(batches, "text"):
-            n, c, keys, places, bits = [], [], [], [], []
+            n, c, bits = [], [], []
+            for h, _ in shingles(batch.column("text"), k):
+                n.append(len(h)), c.append(set_code(h))
+                odd = np.bincount((h >> shift).astype(np.int64), minlength=64 * BITMAP) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "c", "bits"])
+
+    return docs.mapInArrow(run, "id long, n long, c long, bits array<long>")
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of equal length as one compressed blob, byte plane by byte plane."""
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return zstandard.compress(b"".join(planes), 1)
+
+
+def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    widths = [np.dtype(x).itemsize for x in kinds]
+    rows, out, at = len(raw) // sum(widths), [], 0
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + rows * width].reshape(width, rows).T).view(kind).ravel())
+        at += rows * width
+    return out
+
+
+ENTRY = (np.uint32, np.uint32, np.int64, np.int32, np.int32)  # key's low and high word, c, n, place
+
+
+def shared_entries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, parts: int) -> DataFrame:
+    """(key, n, c, place): the prefix entries whose key at least two different sets have.
+
+    Entries travel once, packed by part of the key space. A part's task streams them: it holds the first entry of every
+    key (keys are dealt evenly, whatever their counts) and passes on an entry as soon as its key has shown two sets.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(counts)
+
+    def emit(pending: list):
+        keys, c, n, place = (np.concatenate(x) for x in zip(*pending, strict=True))
+        part = (mix(keys) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        low, high = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
+        own = [order[bounds[p] : bounds[p + 1]] for p in range(parts)]
+        full = [p for p in range(parts) if len(own[p])]
+        blobs = [_pack(low[own[p]], high[own[p]], c[own[p]], n[own[p]], place[own[p]]) for p in full]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def local(batches):
+        counts, seen, pending, size = held.value, set(), [], 0
+        for batch in chunks(batches, "text"):
             for h, rank in shingles(batch.column("text"), k, counts):
-                size = len(h)
-                code = int(h.sum(dtype=np.uint64) ^ np.uint64(size)) if size else 0
-                n.append(size)
-                c.append(code - (1 << 64) if code >= 1 << 63 else code)
-                if not size or (code, size) in seen:
-                    keys.append(None), places.append(None), bits.append(None)
+                code = (set_code(h), len(h))
+                if not len(h) or code in seen:  # a copy that this task has met adds nothing
                     continue
                 if len(seen) < SEEN:
-                    seen.add((code, size))
-                p = prefix_length(size, percent)
-                at = np.flatnonzero(rank[:p] > 1)
-                keys.append(h[at].astype(np.int64)), places.append(at.astype(np.int32))
-                odd = np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=64 * BITMAP) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "c", "keys", "places", "bits"])
+                    seen.add(code)
+                at = np.flatnonzero(rank[: prefix_length(len(h), percent)] > 1)
+                pending.append((h[at], np.full(len(at), code[0], np.int64), np.full(len(at), code[1], np.int32), at.astype(np.int32)))
+                size += len(at)
+            if size > PART_ENTRIES // 2:
+                yield emit(pending)
+                pending, size = [], 0
+        if size:
+            yield emit(pending)
+
+    def merge(first, new):
+        """first: (keys, c, n, place, shown) sorted by key; returns the new first and the entries to pass on."""
+        keys, c, n, place = (np.concatenate((a, *b)) for a, b in zip(first[:4], zip(*new, strict=True), strict=True))
+        shown = np.concatenate((first[4], np.zeros(len(keys) - len(first[4]), bool)))
+        order = np.argsort(keys, kind="stable")
+        keys, c, n, place, shown = keys[order], c[order], n[order], place[order], shown[order]
+        head = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
+        group = np.cumsum(head) - 1
+        at = np.flatnonzero(head)
+        other = (c != c[at][group]) | (n != n[at][group])
+        open_ = np.zeros(len(at), bool)
+        open_[group[other]] = True
+        out = other | (head & (open_ & ~shown[at])[group])
+        return (keys[at], c[at], n[at], place[at], shown[at] | open_), (keys[out], c[out], n[out], place[out])
+
+    def collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))
+        new, size = [], 0
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[2].astype(np.int64)), pa.array(found[1]), pa.array(found[3])], names=["key", "n", "c", "place"])
+
+        for batch in batches:
+            for blob in batch.column("blob"):
+                low, high, c, n, place = _unpack(blob.as_py(), ENTRY)
+                new.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), c, n, place))
+                size += len(low)
+                if size > max(len(first[0]), PART_ENTRIES // 4):
+                    first, found = merge(first, new)
+                    new, size = [], 0
+                    yield rows(found)
+        if new:
+            yield rows(merge(first, new)[1])
 
-    return docs.mapInArrow(run, "id long, n long, c long, keys array<long>, places array<int>, bits array<long>")
+    return docs.select("text").mapInArrow(local, "part int, blob binary").groupBy("part").applyInArrow(collect, "key long, n long, c long, place int")
 
 
 def _fits(percent: int):
@@ -146,12 +236,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, n_shingles, component_id, class_id, n_links): every row's set size, component, class of equal sets
     (its smallest id) and the class's verified links to other classes; ids keep their type (integers)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
-    base = materialize(signatures(texts, k, percent, word_counts(texts)), "signatures")
+    base = materialize(signatures(texts, k), "signatures")
     reps = base.where("n > 0").groupBy("c", "n").agg(F.min("id").alias("rep"))
-    entries = base.where("size(keys) > 0").select("c", "n", F.explode(F.arrays_zip("keys", "places")).alias("e")).select(F.col("e.keys").alias("key"), "c", "n", F.col("e.places").alias("place"))
-    own = F.struct("n", "c")
-    shared = entries.groupBy("key").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").select("key")
-    found = materialize(entries.join(shared, "key").distinct().join(reps, ["c", "n"]).select("key", F.col("rep").alias("id"), F.col("n"), F.col("place")), "entries")
+    total = base.agg(F.sum("n")).first()[0] or 0
+    parts = 1 + total * (100 - percent) // 100 // PART_ENTRIES
+    entries = shared_entries(texts, k, percent, word_counts(texts), parts)
+    found = materialize(entries.join(reps, ["c", "n"]).select("key", F.col("rep").alias("id"), F.col("n"), F.col("place")), "entries")
     # Round one: stars. In each key's group, every set is paired with the hub (smallest id) of its own band of sizes and of the next.
     banded = found.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))))
     hubs = banded.groupBy("key", "band").agg(F.min(F.struct("id", "n", "place")).alias("h")).select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "h")
@@ -165,8 +255,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Round two: members of different components that share a key.
     named = found.join(groups, found.id == groups.node, "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    maps = base.where("size(bits) > 0").groupBy("c", "n").agg(F.first("bits").alias("bits")).join(reps, ["c", "n"]).select(F.col("rep").alias("id"), "bits")
-    rest = materialize(named.join(open_keys, "key").join(maps, "id").select("key", "id", "n", "place", "comp", *(F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP))), "open")
+    maps = base.join(reps, ["c", "n"]).where("id = rep").select("id", "bits").dropDuplicates(["id"])
+    rest = named.join(open_keys, "key").join(maps, "id").select("key", "id", "n", "place", "comp", *(F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)))
     words_of = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(BITMAP)]
     left = rest.select("key", F.col("id").alias("p"), F.col("n"), F.col("place"), F.col("comp").alias("cp"), *words_of("x"))
     right = rest.select("key", F.col("id").alias("q"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("cq"), *words_of("y"))
