@@ -9,12 +9,13 @@ How it runs at scale:
   2. One pass makes each text's shingles, ordered rarest first by the count of their rarest word, which bounds the
      shingle's own count from above. Only the prefix that a partner must share is kept; shingles whose rarest word
      occurs once in the corpus occur once themselves and are left out (their positions still count).
-  3. Equal sets are one class, so copies never multiply pairs. Entries travel packed, once, and keys of a single class
-     are dropped where the entries meet; only first entries of keys are held there.
-  4. Round one links every member of a key's group to the hub of its size band and of the next (linear in the group), which merges
-     groups of near copies, however large. Round two then pairs only members of *different* components that share
-     a key, under the suffix filter: parity bitmaps bound how much two whole sets can have in common. Every pair is distinct before it is verified against whole sets, so no link between components is lost,
-     and the components are those of the full graph; pairs inside one component are not enumerated.
+  3. Equal sets are one class, so copies never multiply pairs. Entries travel packed, once. Where they meet, the sets of a
+     key that few sets have are paired at once, and the entries of hot keys are passed on.
+  4. Round one links every member of a hot key's group to the hub of its size band and of the next (linear in the group),
+     which merges groups of near copies, however large. Round two then pairs only members of *different* components that
+     share a hot key. Every pair is distinct, passes the suffix filter (parity bitmaps bound how much two whole sets can
+     have in common) and is then verified against whole sets, so no link between components is lost, and the components
+     are those of the full graph; pairs inside one component are not enumerated.
 Rows with a null id are ignored; repeated ids with equal text fold into one row per id and set.
 """
 
@@ -36,7 +37,9 @@ SLICES = 32
 SEEN = 200_000
 PART_ENTRIES = 1_500_000
 BAND = 1.08
-BITMAP = 4  # 64-bit words of a set's parity bitmap
+BITMAP = 16  # 64-bit words of a set's parity bitmap
+FOLDED = 4  # words that it is folded to where many rows carry it
+FEW = 16  # sets of a key that are paired at once
 
 
 def word_counts(texts: DataFrame, column: str = "text", counters: int = COUNTERS) -> np.ndarray:
@@ -123,10 +126,11 @@ ENTRY = (np.uint32, np.uint32, np.int64, np.int32, np.int32)  # key's low and hi
 
 
 def shared_entries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, parts: int) -> DataFrame:
-    """(key, n, c, place): the prefix entries whose key at least two different sets have.
+    """Candidates (n, c, m, d) of sets (n, c) and (m, d) that share a key which few sets have; with m = -1, the entries
+    (key, n, c, place) of hot keys.
 
-    Entries travel once, packed by part of the key space. A part's task streams them: it holds the first entry of every
-    key (keys are dealt evenly, whatever their counts) and passes on an entry as soon as its key has shown two sets.
+    Entries travel once, packed by part of the key space. A part's task streams them and holds at most FEW entries of
+    every key (keys are dealt evenly, whatever their counts); a hot key's entries are passed on at once.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 
@@ -159,41 +163,72 @@ def shared_entries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, pa
         if size:
             yield emit(pending)
 
-    def merge(first, new):
-        """first: (keys, c, n, place, shown) sorted by key; returns the new first and the entries to pass on."""
-        keys, c, n, place = (np.concatenate((a, *b)) for a, b in zip(first[:4], zip(*new, strict=True), strict=True))
-        shown = np.concatenate((first[4], np.zeros(len(keys) - len(first[4]), bool)))
-        order = np.argsort(keys, kind="stable")
-        keys, c, n, place, shown = keys[order], c[order], n[order], place[order], shown[order]
-        head = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.zeros(0, bool)
-        group = np.cumsum(head) - 1
-        at = np.flatnonzero(head)
-        other = (c != c[at][group]) | (n != n[at][group])
-        open_ = np.zeros(len(at), bool)
-        open_[group[other]] = True
-        out = other | (head & (open_ & ~shown[at])[group])
-        return (keys[at], c[at], n[at], place[at], shown[at] | open_), (keys[out], c[out], n[out], place[out])
+    def merge(held, new):
+        """held: (keys, c, n, place, hot) sorted by key; returns the new held and the entries of hot keys to pass on.
+
+        A key with more than FEW sets is hot: it keeps one marked entry and passes all its sets on.
+        """
+        keys, c, n, place = (np.concatenate((a, *b)) for a, b in zip(held[:4], zip(*new, strict=True), strict=True))
+        hot = np.concatenate((held[4], np.zeros(len(keys) - len(held[4]), bool)))
+        order = np.lexsort((n, c, ~hot, keys))
+        keys, c, n, place, hot = keys[order], c[order], n[order], place[order], hot[order]
+        same = np.append(False, (keys[1:] == keys[:-1]) & (c[1:] == c[:-1]) & (n[1:] == n[:-1]) & ~hot[:-1])
+        keys, c, n, place, hot = keys[~same], c[~same], n[~same], place[~same], hot[~same]
+        at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        size = np.diff(np.append(at, len(keys)))
+        now = hot[at] | (size > FEW)
+        in_hot = np.repeat(now, size)
+        out = in_hot & ~hot
+        keep = ~in_hot
+        keep[at] = True
+        hot = in_hot.copy()
+        return (keys[keep], c[keep], n[keep], place[keep], hot[keep]), (keys[out], c[out], n[out], place[out])
+
+    def paired(held):
+        """The distinct pairs of sets that share a key which is not hot, under length and positional filter."""
+        keys, c, n, place, hot = (x[~held[4]] for x in held)
+        found = []
+        for d in range(1, FEW):
+            i = np.flatnonzero(keys[d:] == keys[:-d]) if len(keys) > d else np.zeros(0, np.int64)
+            if not len(i):
+                break
+            j = i + d
+            swap = n[i] > n[j]
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            x, y = n[i].astype(np.int64), n[j].astype(np.int64)
+            need = -(-percent * (x + y) // (100 + percent))
+            fits = (100 * x >= percent * y) & (place[i] < x + (-2 * percent * x) // (100 + percent) + 1) & (np.minimum(x - place[i], y - place[j]) >= need)
+            found.append(np.column_stack((x, c[i], y, c[j]))[fits])
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
 
     def collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, bool))
         new, size = [], 0
 
-        def rows(found):
-            return pa.RecordBatch.from_arrays([pa.array(found[0].astype(np.int64)), pa.array(found[2].astype(np.int64)), pa.array(found[1]), pa.array(found[3])], names=["key", "n", "c", "place"])
+        def rows(keys, n, c, place, m, d):
+            return pa.RecordBatch.from_arrays([pa.array(x.astype(t)) for x, t in ((keys, np.int64), (n, np.int64), (c, np.int64), (place, np.int32), (m, np.int64), (d, np.int64))], names=["key", "n", "c", "place", "m", "d"])
+
+        def entries(found):
+            none = np.full(len(found[0]), -1)
+            return rows(found[0], found[2], found[1], found[3], none, none)
 
         for batch in batches:
             for blob in batch.column("blob"):
                 low, high, c, n, place = _unpack(blob.as_py(), ENTRY)
                 new.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), c, n, place))
                 size += len(low)
-                if size > max(len(first[0]), PART_ENTRIES // 4):
-                    first, found = merge(first, new)
+                if size > max(len(held[0]), PART_ENTRIES // 4):
+                    held, found = merge(held, new)
                     new, size = [], 0
-                    yield rows(found)
+                    yield entries(found)
         if new:
-            yield rows(merge(first, new)[1])
+            held, found = merge(held, new)
+            yield entries(found)
+        pairs = paired(held)
+        none = np.full(len(pairs), -1)
+        yield rows(none, pairs[:, 0], pairs[:, 1], none, pairs[:, 2], pairs[:, 3])
 
-    return docs.select("text").mapInArrow(local, "part int, blob binary").groupBy("part").applyInArrow(collect, "key long, n long, c long, place int")
+    return docs.select("text").mapInArrow(local, "part int, blob binary").groupBy("part").applyInArrow(collect, "key long, n long, c long, place int, m long, d long")
 
 
 def _fits(percent: int):
@@ -202,8 +237,12 @@ def _fits(percent: int):
     return f"100 * n >= {percent} * m AND place < n - ceil({2 * percent} * n / {100 + percent}) + 1 AND 1 + least(n - place, m - at) - 1 >= {need}"
 
 
-def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) of the distinct pairs whose whole sets link. texts: id, text."""
+def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those (a, b) of the distinct pairs whose whole sets link. maps: id, n, bits of the suffix filter; texts: id, text."""
+    left, right = (maps.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(x)) for i, n, x in (("a", "na", "xa"), ("b", "nb", "xb")))
+    apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(BITMAP))
+    near = pairs.join(left, "a").join(right, "b").where(f"{apart} <= na + nb - 2 * ceil({percent} * (na + nb) / {100 + percent})")
+    pairs = materialize(near.select("a", "b"), "near")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets(batches):
@@ -241,30 +280,35 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = 1 + total * (100 - percent) // 100 // PART_ENTRIES
     entries = shared_entries(texts, k, percent, word_counts(texts), parts)
-    found = materialize(entries.join(reps, ["c", "n"]).select("key", F.col("rep").alias("id"), F.col("n"), F.col("place")), "entries")
+    entries = materialize(entries, "entries")
+    found = materialize(entries.where("m < 0").select("key", "n", "c", "place").distinct().join(reps, ["c", "n"]).select("key", F.col("rep").alias("id"), F.col("n"), F.col("place")), "hot")
+    other = reps.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("rep").alias("rep2"))
+    few = entries.where("m >= 0").select("n", "c", "m", "d").distinct().join(reps, ["c", "n"]).join(other, ["d", "m"]).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
+    maps = base.join(reps, ["c", "n"]).where("id = rep").select("id", "n", "bits").dropDuplicates(["id"])
     # Round one: stars. In each key's group, every set is paired with the hub (smallest id) of its own band of sizes and of the next.
     banded = found.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))))
     hubs = banded.groupBy("key", "band").agg(F.min(F.struct("id", "n", "place")).alias("h")).select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "h")
     met = banded.join(hubs, ["key", "band"]).where("id <> h.id")
     first = F.struct("n", "id") < F.struct("h.n", "h.id")
     ordered = met.select(*(F.when(first, x).otherwise(y).alias(z) for x, y, z in ((F.col("n"), F.col("h.n"), "n"), (F.col("place"), F.col("h.place"), "place"), (F.col("h.n"), F.col("n"), "m"), (F.col("h.place"), F.col("place"), "at"))), F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
-    star = ordered.where(_fits(percent)).select("a", "b").distinct()
+    star = ordered.where(_fits(percent)).select("a", "b").union(few).distinct()
     star = materialize(star, "stars")
-    links = materialize(verify(star, texts, k, percent), "links")
+    links = materialize(verify(star, maps, texts, k, percent), "links")
     groups = connected_components(links)
     # Round two: members of different components that share a key.
     named = found.join(groups, found.id == groups.node, "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    maps = base.join(reps, ["c", "n"]).where("id = rep").select("id", "bits").dropDuplicates(["id"])
-    rest = named.join(open_keys, "key").join(maps, "id").select("key", "id", "n", "place", "comp", *(F.col("bits")[i].alias(f"w{i}") for i in range(BITMAP)))
-    words_of = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(BITMAP)]
+    folded = [F.expr(" ^ ".join(f"bits[{i + j}]" for j in range(0, BITMAP, FOLDED))).alias(f"w{i}") for i in range(FOLDED)]
+    small = maps.select("id", *folded)
+    rest = named.join(open_keys, "key").join(small, "id")
+    words_of = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(FOLDED)]
     left = rest.select("key", F.col("id").alias("p"), F.col("n"), F.col("place"), F.col("comp").alias("cp"), *words_of("x"))
     right = rest.select("key", F.col("id").alias("q"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("cq"), *words_of("y"))
-    apart = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(BITMAP))
+    apart = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(FOLDED))
     near = f"{_fits(percent)} AND {apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
     met = left.join(right, (left.key == right.key) & F.expr(f"cp <> cq AND (n < m OR n = m AND p < q) AND {near}"))
     cross = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = materialize(links.union(verify(materialize(cross, "cross"), texts, k, percent)), "links")
+    links = materialize(links.union(verify(cross, maps, texts, k, percent)), "links")
     groups = connected_components(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = reps.join(groups, reps.rep == groups.node, "left").join(degree, "rep", "left").select("c", "n", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
