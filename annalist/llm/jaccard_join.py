@@ -40,6 +40,9 @@ BAND = 1.08
 BITMAP = 16  # 64-bit words of a set's parity bitmap
 FOLDED = 4  # words that it is folded to where many rows carry it
 FEW = 16  # sets of a key that are paired at once
+SLICE = 500  # sets of a hot key on one side of a meeting
+TASK_PAIRS = 20_000_000  # pairs of hot keys' sets that one task compares
+MAX_TASKS = 100_000
 
 
 def word_counts(texts: DataFrame, column: str = "text", counters: int = COUNTERS) -> np.ndarray:
@@ -297,17 +300,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     groups = connected_components(links)
     # Round two: members of different components that share a key.
     named = found.join(groups, found.id == groups.node, "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("comp"))
-    open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
+    work = open_keys.agg(F.sum(F.col("size").cast("double") ** 2)).first()[0] or 0.0
+    tasks = int(min(1 + work // TASK_PAIRS, MAX_TASKS))
+    open_keys = open_keys.select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
     folded = [F.expr(" ^ ".join(f"bits[{i + j}]" for j in range(0, BITMAP, FOLDED))).alias(f"w{i}") for i in range(FOLDED)]
     small = maps.select("id", *folded)
-    rest = named.join(open_keys, "key").join(small, "id")
+    # A pair's sizes lie in the same band or in neighbouring ones; a group of many sets is cut into slices that each meet all of it.
+    band = F.floor(F.log("n") / float(np.log(100.5 / percent)))
+    rest = named.join(open_keys, "key").join(small, "id").withColumn("band", band)
     words_of = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(FOLDED)]
-    left = rest.select("key", F.col("id").alias("p"), F.col("n"), F.col("place"), F.col("comp").alias("cp"), *words_of("x"))
-    right = rest.select("key", F.col("id").alias("q"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("cq"), *words_of("y"))
+    meeting = ["key", "band", "slice"]
+    left = rest.select("key", "band", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.col("id").alias("p"), F.col("n"), F.col("place"), F.col("comp").alias("cp"), *words_of("x"))
+    right = rest.select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    right = right.select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "slice", F.col("id").alias("q"), F.col("n").alias("m"), F.col("place").alias("at"), F.col("comp").alias("cq"), *words_of("y"))
+    left, right = (side.repartition(tasks, *meeting) for side in (left, right))
     apart = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(FOLDED))
     near = f"{_fits(percent)} AND {apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
-    met = left.join(right, (left.key == right.key) & F.expr(f"cp <> cq AND (n < m OR n = m AND p < q) AND {near}"))
-    cross = met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    met = left.hint("shuffle_hash").join(right, meeting).where(f"cp <> cq AND (n < m OR n = m AND p < q) AND {near}")
+    cross = materialize(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "cross").join(star, ["a", "b"], "left_anti")
     links = materialize(links.union(verify(cross, maps, texts, k, percent)), "links")
     groups = connected_components(links)
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))

@@ -36,7 +36,7 @@ def shingle_sets(texts):
     return out
 
 
-def test_jaccard_join(spark, texts):
+def brute_components(texts):
     sets = shingle_sets(texts)
     parent = {i: i for i in sets}
 
@@ -50,8 +50,35 @@ def test_jaccard_join(spark, texts):
             if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                 x, y = root(a), root(b)
                 parent[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(texts, DOCS)).collect()}
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def jaccard_rows(spark, texts):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(texts, DOCS)).collect()}
+
+
+def test_jaccard_join(spark, texts):
+    assert jaccard_rows(spark, texts) == brute_components(texts)
+
+
+@pytest.mark.parametrize("slice_size", [7, jaccard_join.SLICE])
+def test_jaccard_join_of_many_texts_that_share_their_rarest_passage(spark, monkeypatch, slice_size):
+    """The passage's shingles are hot keys, so links between components can only come from the second round."""
+    monkeypatch.setattr(jaccard_join, "SLICE", slice_size)
+    rng = random.Random(8)
+    passage = [f"rare{i}" for i in range(24)]
+    rows = []
+    for _ in range(40):
+        filler = [rng.choice("abcdef") for _ in range(rng.randint(1, 60))]
+        for _ in range(rng.randint(1, 4)):
+            copy = list(filler)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = rng.choice("abcdef")
+            rows.append(" ".join(passage + copy[: len(copy) - rng.randint(0, 2)]))
+    texts = list(enumerate(rows))
+    expected = brute_components(texts)
+    assert len({c for _, c in expected.values()}) > 5
+    assert jaccard_rows(spark, texts) == expected
 
 
 def test_jaccard_join_of_nothing(spark):
