@@ -54,20 +54,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component) for every node of edges (a, b); component is the smallest node reachable.
 
     Alternating large-star and small-star rounds in join form: a node's neighbours are never gathered in one row, and
-    every round is a written table. An edge to itself keeps a lone node; null ends are ignored.
+    every half round is a written table, so plans stay small. Null ends and edges from a node to itself are ignored.
     """
-    edges = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    pairs = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    ends = lambda *pairs: F.explode(F.array(*(F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs))).alias("e")
+    pairs = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     state = None
     for _ in range(max_rounds):
-        both = pairs.union(pairs.select(F.col("v"), F.col("u"))).toDF("u", "v")
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(pairs.where("u = v")).distinct()
-        down = large.where("u > v")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y"))
-        small = small.where("x <> y").union(least.select("u", "m")).union(large.where("u = v")).toDF("u", "v").distinct()
+        # Large star: neighbours above a node move to the least of its neighbours and itself.
+        low = pairs.select(ends("uv", "vu")).select("e.*").groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = materialize(pairs.join(low, "v").select("u", F.least("m", "v").alias("v")).distinct(), "cc")
+        # Small star: neighbours below a node, and the node, move to the least of them.
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(ends("um", "vm")).select("e.*").where("u <> v").distinct()
         pairs = materialize(small, "cc")
         now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == state:
@@ -75,6 +73,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         state = now
     else:
         raise RuntimeError("components did not settle")
-    linked = pairs.where("u > v").groupBy("u").agg(F.min("v").alias("component"))
-    roots = pairs.select(F.col("v").alias("u"), F.col("v").alias("component")).join(linked.select("u"), "u", "left_anti")
-    return linked.union(roots.distinct()).toDF("node", "component")
+    nodes = pairs.select(ends("uv", "vv")).select("e.*").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+    return materialize(nodes, "components")

@@ -245,7 +245,7 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent:
     left, right = (maps.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(x)) for i, n, x in (("a", "na", "xa"), ("b", "nb", "xb")))
     apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(BITMAP))
     near = pairs.join(left, "a").join(right, "b").where(f"{apart} <= na + nb - 2 * ceil({percent} * (na + nb) / {100 + percent})")
-    pairs = materialize(near.select("a", "b"), "near")
+    pairs = materialize(near.select("a", "b").distinct(), "near")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets(batches):
@@ -279,7 +279,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (its smallest id) and the class's verified links to other classes; ids keep their type (integers)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     base = materialize(signatures(texts, k), "signatures")
-    reps = base.where("n > 0").groupBy("c", "n").agg(F.min("id").alias("rep"))
+    least = base.where("n > 0").groupBy("c", "n").agg(F.min(F.struct("id", "bits")).alias("x"))
+    sets = materialize(least.select("c", "n", F.col("x.id").alias("rep"), F.col("x.bits").alias("bits")), "classes")
+    reps = sets.select("c", "n", "rep")
+    maps = sets.select(F.col("rep").alias("id"), "n", "bits")
     total = base.agg(F.sum("n")).first()[0] or 0
     parts = 1 + total * (100 - percent) // 100 // PART_ENTRIES
     entries = shared_entries(texts, k, percent, word_counts(texts), parts)
@@ -287,7 +290,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     found = materialize(entries.where("m < 0").select("key", "n", "c", "place").distinct().join(reps, ["c", "n"]).select("key", F.col("rep").alias("id"), F.col("n"), F.col("place")), "hot")
     other = reps.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("rep").alias("rep2"))
     few = entries.where("m >= 0").select("n", "c", "m", "d").distinct().join(reps, ["c", "n"]).join(other, ["d", "m"]).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))
-    maps = base.join(reps, ["c", "n"]).where("id = rep").select("id", "n", "bits").dropDuplicates(["id"])
     # Round one: stars. In each key's group, every set is paired with the hub (smallest id) of its own band of sizes and of the next.
     banded = found.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))))
     hubs = banded.groupBy("key", "band").agg(F.min(F.struct("id", "n", "place")).alias("h")).select("key", F.explode(F.array("band", F.col("band") - 1)).alias("band"), "h")
@@ -301,14 +303,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Round two: members of different components that share a key.
     named = found.join(groups, found.id == groups.node, "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("comp"))
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size")).where("x <> y")
+    open_keys = materialize(open_keys.select("key", "size"), "open")
     work = open_keys.agg(F.sum(F.col("size").cast("double") ** 2)).first()[0] or 0.0
     tasks = int(min(1 + work // TASK_PAIRS, MAX_TASKS))
-    open_keys = open_keys.select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
+    slices = open_keys.select("key", F.ceil(F.col("size") / SLICE).cast("int").alias("slices"))
     folded = [F.expr(" ^ ".join(f"bits[{i + j}]" for j in range(0, BITMAP, FOLDED))).alias(f"w{i}") for i in range(FOLDED)]
-    small = maps.select("id", *folded)
     # A pair's sizes lie in the same band or in neighbouring ones; a group of many sets is cut into slices that each meet all of it.
     band = F.floor(F.log("n") / float(np.log(100.5 / percent)))
-    rest = named.join(open_keys, "key").join(small, "id").withColumn("band", band)
+    rest = materialize(named.join(slices, "key").join(maps.select("id", *folded), "id").withColumn("band", band), "rest")
     words_of = lambda side: [F.col(f"w{i}").alias(f"{side}{i}") for i in range(FOLDED)]
     meeting = ["key", "band", "slice"]
     left = rest.select("key", "band", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.col("id").alias("p"), F.col("n"), F.col("place"), F.col("comp").alias("cp"), *words_of("x"))
@@ -319,9 +321,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = f"{_fits(percent)} AND {apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
     met = left.hint("shuffle_hash").join(right, meeting).where(f"cp <> cq AND (n < m OR n = m AND p < q) AND {near}")
     cross = materialize(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "cross").join(star, ["a", "b"], "left_anti")
-    links = materialize(links.union(verify(cross, maps, texts, k, percent)), "links")
-    groups = connected_components(links)
+    found_links = materialize(verify(cross, maps, texts, k, percent), "links")
+    # Only the links of round two are new, so the second search runs over the components of the first.
+    ends = [groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp")) for x in "ab"]
+    named = found_links.join(ends[0], "a", "left").join(ends[1], "b", "left")
+    merged = connected_components(named.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
+    links = links.union(found_links)
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = reps.join(groups, reps.rep == groups.node, "left").join(degree, "rep", "left").select("c", "n", "rep", F.coalesce("component", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    first = reps.join(groups, reps.rep == groups.node, "left").select("c", "n", "rep", F.coalesce("component", "rep").alias("one"))
+    merged = merged.toDF("one", "two")
+    classes = first.join(merged, "one", "left").join(degree, "rep", "left").select("c", "n", "rep", F.coalesce("two", "one").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = base.select("id", "n", "c").join(classes, ["c", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
