@@ -7,7 +7,7 @@ import string
 import numpy as np
 import pytest
 
-from annalist.llm import byte_bpe, decontamination, graph_search, html_extraction, jaccard_join, language_id, substring_dedup, token_counts, toxicity, url_reputation
+from annalist.llm import byte_bpe, common, decontamination, graph_search, html_extraction, jaccard_join, language_id, substring_dedup, token_counts, toxicity, url_reputation
 
 DOCS = "doc_id long, text string"
 FOLD = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -85,6 +85,14 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_connected_components(spark):
+    """A chain, a hub, a repeated edge, an edge to itself and null ends."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, j) for j in range(101, 130)] + [(100, 101), (7, 7), (500, 500), (None, 3), (3, None)]
+    got = {r.node: r.component for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(41), 0) | dict.fromkeys(range(100, 130), 100)
+    assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_byte_bpe(spark, texts):
     import public_tokenizers
     import tiktoken
