@@ -1,49 +1,109 @@
 """Substring dedup over sliding runs of consecutive sentences.
 
-A text is cut into sentences after . ! ? and at line ends (sentences of more than LONG_SENTENCE words also after commas,
-semicolons and colons). From every sentence starts, and at every sentence ends, the shortest run of at least `span`
-sentences and `min_words` words; every run is hashed (lower case, white space as one space). The runs of all texts are
-joined on the hash; the first occurrence is the one of the smallest (id, position). Sentences that any other occurrence
-covers are removed, and with them the white space before them. Texts shorter than one run lose nothing.
+A text is cut into sentences after . ! ? and at line ends. Sentences of more than WINDOW words are cut further, at word
+boundaries that their own words choose: of every WINDOW boundaries in a row inside a sentence, the ones of the least hash
+of the two words around them. So no piece has more than WINDOW words, and whether a boundary is a cut depends on nothing
+that is WINDOW words away, neither on the length of the sentence nor on the offset in the text.
+From every piece starts, and at every piece ends, the shortest run of at least `span` pieces and `min_words` words; every
+run is hashed (lower case, white space as one space). In a passage of 50 words, wherever it is spliced in, the cuts from
+the 10th to the 40th boundary are its own; one is among the first ten of them, and a run from there ends within 21 words.
+So with span 2 and min_words 12 every repeat of 50 words holds a run. The runs of all texts meet
+by hash; the first occurrence is the one of the smallest (id, position). Pieces that any other occurrence
+covers are removed, and with them the white space before them. Texts of fewer than `min_words` words lose nothing.
 Null texts stay null; rows of equal id and text are treated as one occurrence and are all cleaned alike.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import chunks, materialize
+from annalist.llm.common import chunks
+from annalist.llm.jaccard_join import _pack, _unpack
+from annalist.llm.shingles import mix
+from annalist.llm.shingles import words as word_hashes
 
 SPAN = 2
 MIN_WORDS = 12
-LONG_SENTENCE = 25
+WINDOW = 10  # word boundaries in a row, inside a sentence, of which one at least is a cut
+PART_ENTRIES = 600_000
+BLOCK_ENTRIES = 400_000
+RUN_BYTES = 16  # of text for each run, about
+ENTRY = (np.int64, np.int64, np.int64, np.int32, np.int32)  # hash, id, tag, first and last piece
 _SENTENCE = re.compile(r"\s*[^.!?\n]*(?:[.!?]+|\n|$)")
-_CLAUSE = re.compile(r"\s*[^,;:]*(?:[,;:]+|$)")
+_WORD = re.compile(r"\s*\S+")
+
+
+def _slide(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
+    """The least or greatest of every WINDOW values in a row."""
+    width = 1
+    while width < WINDOW:
+        step = min(width, WINDOW - width)
+        x = pick(x[:-step], x[step:])
+        width += step
+    return x
+
+
+def _cuts(words: list[str], ends: np.ndarray) -> np.ndarray:
+    """Numbers of words after which a sentence is cut; ends: numbers of words after which sentences end."""
+    h, _ = word_hashes(pa.array([" ".join(words)], pa.large_string()))
+    h = mix(h[:-1] + (h[1:] << np.uint64(1))) | np.uint64(1)  # of the boundary after word i + 1
+    end = np.zeros(len(h) + 1, np.int64)
+    end[ends[ends <= len(h)]] = 1
+    end[0] = 0
+    before = np.cumsum(end)
+    least = _slide(h, np.minimum)
+    least[before[WINDOW:] != before[:-WINDOW]] = 0  # windows that are not inside a sentence choose nothing
+    around = np.zeros(len(h) + WINDOW - 1, np.uint64)
+    around[WINDOW - 1 : len(h)] = least
+    return np.flatnonzero(_slide(around, np.maximum) == h) + 1
+
+
+def _sentences(text: str) -> tuple[list[str], list[list[str]], list[list[int]]]:
+    """The text's sentences, their words in lower case, and the numbers of their words after which each is cut."""
+    whole: list[str] = []
+    for piece in _SENTENCE.findall(text):
+        if not piece:
+            continue
+        if not piece.strip() and whole:
+            whole[-1] += piece
+        else:
+            whole.append(piece)
+    words = [s.lower().split() for s in whole]
+    if max(map(len, words), default=0) <= WINDOW:
+        return whole, words, [[]] * len(whole)
+    ends = np.cumsum([len(w) for w in words])
+    cuts = _cuts([x for w in words for x in w], ends)
+    found, first, begin = [], 0, 0
+    last, cuts = np.searchsorted(cuts, ends).tolist(), cuts.tolist()
+    for end, to in zip(ends.tolist(), last, strict=True):
+        found.append([c - begin for c in cuts[first:to]])
+        first, begin = to, end
+    return whole, words, found
 
 
 def sentences(text: str) -> list[str]:
     """The pieces of the text, in order; joined they are the text again."""
     out: list[str] = []
-    for piece in _SENTENCE.findall(text):
-        if not piece:
-            continue
-        if not piece.strip() and out:
-            out[-1] += piece
-        elif len(piece) > 4 * LONG_SENTENCE and len(piece.split()) > LONG_SENTENCE:
-            out += [c for c in _CLAUSE.findall(piece) if c]
-        else:
+    for piece, _, cuts in zip(*_sentences(text), strict=True):
+        if not cuts:
             out.append(piece)
+            continue
+        units, bounds = _WORD.findall(piece), [0, *cuts]
+        out += ["".join(units[a:b]) for a, b in zip(bounds, cuts, strict=False)]
+        out.append("".join(units[cuts[-1] :]) + piece[len(piece.rstrip()) :])
     return out
 
 
 def runs(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, int]]]:
-    """(number of sentences, runs as (hash, first, last sentence))."""
-    pieces = [s.lower().split() for s in sentences(text)]
+    """(number of pieces, runs as (hash, first, last piece))."""
+    pieces = [w[a:b] for _, w, cuts in zip(*_sentences(text), strict=True) for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
     n = len(pieces)
     size = [len(p) for p in pieces]
     found: set[tuple[int, int]] = set()
@@ -75,22 +135,91 @@ def runs(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[int,
     return n, out
 
 
-def clean(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col cleaned, and n_sentences and n_removed (longs)."""
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-
-    def hash_runs(batches):
+def _split(blocks: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of blocks of entries (hash, id, tag, first, last): each hash's first occurrence, and the other occurrences."""
+    columns = [np.concatenate(x) for x in zip(*blocks, strict=True)]
+    blocks.clear()
+    order = np.lexsort((columns[3], columns[2], columns[1], columns[0]))
+    for j in range(len(columns)):
+        columns[j] = columns[j][order]
+    del order
+    code = columns[0]
+    head = np.append(True, code[1:] != code[:-1]) if len(code) else np.zeros(0, bool)
+    own = (np.flatnonzero(head).astype(np.int32))[np.cumsum(head, dtype=np.int32) - 1]
+    other = np.zeros(len(code), bool)
+    for x in columns[1:4]:
+        other |= x != x[own]
+    return [x[head] for x in columns], [x[other] for x in columns]
+
+
+def covered_runs(docs: DataFrame, span: int, min_words: int, parts: int) -> DataFrame:
+    """(id, tag, first, last) of every run of docs (id, tag, text) that is not the first occurrence of its hash.
+
+    Of the runs that a task holds at once, the occurrences after a hash's first one are covered whatever other tasks
+    hold; only the first travels on, packed by part of the hash space. So a run that many texts share is one entry for each
+    block of a task, and every run travels once.
+    """
+
+    def emit(pending: list):
+        kept, covered = _split(pending)
+        names, blobs = [], []
+        part = (mix(kept[0].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        order = np.lexsort((kept[3], kept[1], part))
+        bounds = np.searchsorted(part[order], np.arange(parts + 1))
+        for i in range(parts):
+            at = order[bounds[i] : bounds[i + 1]]
+            if len(at):
+                names.append(i), blobs.append(_pack(*(x[at] for x in kept)))
+        if len(covered[0]):
+            names.append(parts + int(covered[0][0]) % parts), blobs.append(_pack(*covered))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+
+    def local(batches):
+        pending, size = [], 0
         for batch in chunks(batches, "text"):
             got = [runs(t, span, min_words)[1] for t in batch.column("text").to_pylist()]
-            cols = [pa.array([[r[j] for r in rs] for rs in got], pa.list_(kind)) for j, kind in enumerate((pa.int64(), pa.int32(), pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("tag"), *cols], names=["id", "tag", "hash", "first", "last"])
-
-    table = materialize(keyed.mapInArrow(hash_runs, "id long, tag long, hash array<long>, first array<int>, last array<int>"), "runs")
-    each = table.select("id", "tag", F.explode(F.arrays_zip("hash", "first", "last")).alias("r")).select("id", "tag", "r.*")
-    place = F.struct("id", "tag", "first")
-    # Aggregated on the map side, so a run that many texts share arrives as one row per task.
-    shared = each.groupBy("hash").agg(F.min(place).alias("keep"), F.max(place).alias("other")).where("keep <> other").select("hash", "keep")
-    covered = each.join(shared, "hash").where(~(place == F.col("keep")))
+            times = [len(rs) for rs in got]
+            ids, tags = (np.repeat(batch.column(c).to_numpy(), times) for c in ("id", "tag"))
+            code, first, last = (np.array([r[j] for rs in got for r in rs], kind) for j, kind in enumerate((np.int64, np.int32, np.int32)))
+            pending.append((code, ids, tags, first, last))
+            size += len(code)
+            if size > BLOCK_ENTRIES:
+                yield emit(pending)
+                pending, size = [], 0
+        if size:
+            yield emit(pending)
+
+    def collect(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.dtype(kind)) for kind in ENTRY]
+        new, size = [], 0
+
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in found[1:]], names=["id", "tag", "first", "last"])
+
+        for batch in batches:
+            for blob in batch.column("blob"):
+                columns = _unpack(blob.as_py(), ENTRY)
+                if key[0].as_py() >= parts:
+                    yield rows(columns)
+                    continue
+                new.append(columns)
+                size += len(columns[0])
+                if size > max(len(held[0]), PART_ENTRIES // 4):
+                    held, covered = _split([held, *new])
+                    new, size = [], 0
+                    yield rows(covered)
+                    del covered
+        if new:
+            yield rows(_split([held, *new])[1])
+
+    return docs.mapInArrow(local, "part int, blob binary").groupBy("part").applyInArrow(collect, "id long, tag long, first int, last int")
+
+
+def clean(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with text_col cleaned, and n_sentences (pieces) and n_removed (longs)."""
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    covered = covered_runs(keyed, span, min_words, 1 + total // (PART_ENTRIES * RUN_BYTES))
     spans = covered.groupBy("id", "tag").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
     base = docs.withColumn("__tag", F.xxhash64(text_col))
     spans = spans.select(F.col("id").alias("__id"), F.col("tag").alias("__other"), "spans")
@@ -103,10 +232,10 @@ def clean(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col:
         for batch in chunks(batches, "__text"):
             texts, counts, gone = [], [], []
             for text, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("__text", "__first", "__last")), strict=True):
-                pieces = sentences(text) if text else []
                 drop = {k for a, b in zip(firsts or (), lasts or (), strict=True) for k in range(a, b + 1)}
+                pieces = sentences(text) if drop else []
                 texts.append("".join(p for k, p in enumerate(pieces) if k not in drop).lstrip() if drop else text)
-                counts.append(len(pieces)), gone.append(len(drop))
+                counts.append(len(pieces) if drop else sum(1 + len(c) for c in _sentences(text or "")[2])), gone.append(len(drop))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=out.names)
 
     return ready.mapInArrow(cut, out)

@@ -182,6 +182,27 @@ def test_substring_dedup(spark):
         assert "".join(substring_dedup.sentences(t)) == t
 
 
+def test_substring_dedup_without_sentence_marks(spark):
+    """Copies without marks, and passages of 50 words spliced in mid-sentence, of many and of few distinct words."""
+    rng = random.Random(12)
+
+    def prose(n, distinct, marks=0.0):
+        return " ".join(f"w{rng.randrange(distinct)}" + (rng.choice(".,") if rng.random() < marks else "") for _ in range(n))
+
+    copy = prose(60, 9000)
+    docs = [(1, copy), (2, copy), (3, prose(60, 9000))]
+    for i in range(60):
+        passage = prose(50, rng.choice((300, 9000)), rng.choice((0, 0.1)))
+        docs += [(i * 2 + j, f"{prose(rng.randint(1, 40), 9000)} {passage} {prose(rng.randint(1, 40), 9000)}") for j in (10, 11)]
+    docs.append((200, docs[3][1]))
+    got = {r.doc_id: (r.text, r.n_removed) for r in substring_dedup.clean(spark.createDataFrame(docs, DOCS)).collect()}
+    assert got[1] == (copy, 0) and got[3] == (docs[2][1], 0) and got[2][0] == "" and got[200][0] == ""
+    for i in range(60):
+        assert got[i * 2 + 10][1] == 0 and got[i * 2 + 11][1] > 0
+    for text in (prose(300, 3), prose(300, 9000, 0.2), " \n" + "a  " * 80 + "\n b.c"):
+        assert "".join(substring_dedup.sentences(text)) == text
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 16)).astype(np.float32)
