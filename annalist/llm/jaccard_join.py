@@ -15,7 +15,10 @@ How it runs at scale:
      which merges groups of near copies, however large. Round two then pairs only members of *different* components that
      share a hot key. Every pair is distinct, passes the suffix filter (parity bitmaps bound how much two whole sets can
      have in common) and is then verified against whole sets, so no link between components is lost, and the components
-     are those of the full graph; pairs inside one component are not enumerated.
+     are those of the full graph.
+  5. Links join sets of one component only, so every set's number of links is counted inside its component: where keys are
+     all rare, every link is verified already; the sets of a component that has hot keys meet each other once, in slices,
+     and only the counts leave the task.
 Rows with a null id are ignored; repeated ids with equal text fold into one row per id and set.
 """
 
@@ -43,6 +46,8 @@ FEW = 16  # sets of a key that are paired at once
 SLICE = 500  # sets of a hot key on one side of a meeting
 TASK_PAIRS = 20_000_000  # pairs of hot keys' sets that one task compares
 MAX_TASKS = 100_000
+MEET_SETS = 2_000  # sets of a slice that meets other slices of its component
+MEET_SHINGLES = 500_000  # and their shingles
 
 
 def word_counts(texts: DataFrame, column: str = "text", counters: int = COUNTERS) -> np.ndarray:
@@ -274,9 +279,81 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of x has in common with each of y."""
+    sizes = [len(z) for z in (*x, *y)]
+    codes = np.unique(np.concatenate((*x, *y)), return_inverse=True)[1].ravel()
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    split = int(sum(sizes[: len(x)]))
+    order = [np.argsort(z, kind="stable") for z in (codes[:split], codes[split:])]
+    cx, cy = codes[:split][order[0]], codes[split:][order[1]]
+    ox, oy = owner[:split][order[0]], owner[split:][order[1]] - len(x)
+    n = int(codes.max()) + 1
+    tx, ty = np.bincount(cx, minlength=n), np.bincount(cy, minlength=n)
+    out = np.zeros((len(x), len(y)), np.int32)
+    pairs = tx * ty
+    dense = pairs * 64 > len(x) * len(y)
+    # Shingles that many sets have: products of 0/1 matrices (exact, as every sum is far below 2**24).
+    often = np.flatnonzero(dense)
+    for at in range(0, len(often), 1024):
+        place = np.full(n, -1)
+        place[often[at : at + 1024]] = np.arange(len(often[at : at + 1024]))
+        a, b = (np.zeros((len(z), 1024), np.float32) for z in (x, y))
+        for m, o, c in ((a, ox, place[cx]), (b, oy, place[cy])):
+            m[o[c >= 0], c[c >= 0]] = 1
+        out += (a @ b.T).astype(np.int32)
+    # The others: every pair of owners.
+    seldom = np.flatnonzero(~dense & (pairs > 0))
+    first_x, first_y = np.cumsum(tx) - tx, np.cumsum(ty) - ty
+    upto = np.cumsum(pairs[seldom])
+    begin = 0
+    while begin < len(seldom):
+        end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + 4_000_000, "right")))
+        own = np.repeat(seldom[begin:end], pairs[seldom[begin:end]])
+        start = np.cumsum(pairs[seldom[begin:end]]) - pairs[seldom[begin:end]]
+        step = np.arange(len(own)) - np.repeat(start, pairs[seldom[begin:end]])
+        i, j = ox[first_x[own] + step // ty[own]], oy[first_y[own] + step % ty[own]]
+        out += np.bincount(i * len(y) + j, minlength=out.size).reshape(out.shape).astype(np.int32)
+        begin = end
+    return out
+
+
+def count_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(rep, inside): each set's links to the other sets of its component. members: n, c, rep, comp, slices."""
+
+    def sets(batches):
+        for batch in chunks(batches, "text"):
+            got = [h for h, _ in shingles(batch.column("text"), k)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in got], pa.int64()), pa.array([set_code(h) for h in got], pa.int64()), pa.array([h.tobytes() for h in got], pa.large_binary()).cast(pa.binary())], names=["rep", "n", "c", "items"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        side = table.column("slice").to_numpy()
+        reps = table.column("rep").to_numpy()
+        items = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("items")]
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        x, y = [items[a] for a in left], [items[b] for b in right]
+        if not x or not y:
+            return pa.table({"rep": pa.array([], pa.int64()), "inside": pa.array([], pa.int64())})
+        common = common_counts(x, y).astype(np.int64)
+        total = np.array([len(z) for z in x])[:, None] + np.array([len(z) for z in y])[None, :]
+        linked = 100 * common >= percent * (total - common)
+        if i == j:
+            np.fill_diagonal(linked, False)
+            return pa.table({"rep": reps[left], "inside": linked.sum(1, dtype=np.int64)})
+        return pa.table({"rep": np.concatenate((reps[left], reps[right])), "inside": np.concatenate((linked.sum(1, dtype=np.int64), linked.sum(0, dtype=np.int64)))})
+
+    wanted = texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
+    # A set's smallest id may carry other texts too, and the same one again.
+    items = wanted.mapInArrow(sets, "rep long, n long, c long, items binary").join(members, ["rep", "n", "c"]).dropDuplicates(["n", "c"])
+    sliced = items.withColumn("slice", F.pmod(F.xxhash64("n", "c"), F.col("slices")).cast("int"))
+    met = sliced.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("comp", "rep", "slice", F.least("slice", "to").alias("i"), F.greatest("slice", "to").alias("j"), "items")
+    return met.groupBy("comp", "i", "j").applyInArrow(meet, "rep long, inside long").groupBy("rep").agg(F.sum("inside").alias("inside"))
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(id_col, n_shingles, component_id, class_id, n_links): every row's set size, component, class of equal sets
-    (its smallest id) and the class's verified links to other classes; ids keep their type (integers)."""
+    (its smallest id) and the number of other classes that the class links with; ids keep their type (integers)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
     base = materialize(signatures(texts, k), "signatures")
     least = base.where("n > 0").groupBy("c", "n").agg(F.min(F.struct("id", "bits")).alias("x"))
@@ -331,5 +408,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     first = reps.join(groups, reps.rep == groups.node, "left").select("c", "n", "rep", F.coalesce("component", "rep").alias("one"))
     merged = merged.toDF("one", "two")
     classes = first.join(merged, "one", "left").join(degree, "rep", "left").select("c", "n", "rep", F.coalesce("two", "one").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = materialize(classes, "classes")
+    # Links that only hot keys show are verified between components and with hubs; inside a component they are counted.
+    hot = classes.join(found.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("comp").distinct()
+    sizes = classes.join(hot, "comp", "left_semi").groupBy("comp").agg(F.count("*").alias("m"), F.sum("n").alias("total")).where("m > 1")
+    sizes = sizes.select("comp", F.greatest(F.ceil(F.col("m") / MEET_SETS), F.ceil(F.col("total") / MEET_SHINGLES)).cast("int").alias("slices"))
+    members = materialize(classes.join(sizes, "comp").select("n", "c", "rep", "comp", "slices"), "members")
+    inside = materialize(count_links(members, texts, k, percent), "inside")
+    # A smallest id that several sets share has all their links, as the verified ones have it.
+    classes = classes.join(inside, "rep", "left").withColumn("n_links", F.coalesce("inside", "n_links"))
     out = base.select("id", "n", "c").join(classes, ["c", "n"], "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

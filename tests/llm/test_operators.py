@@ -81,6 +81,34 @@ def test_jaccard_join_of_many_texts_that_share_their_rarest_passage(spark, monke
     assert jaccard_rows(spark, texts) == expected
 
 
+def brute_links(texts):
+    """Distinct sets that each text's set links with."""
+    sets = {i: frozenset(s) for i, s in shingle_sets(texts).items()}
+    distinct = set(sets.values())
+    return {i: sum(1 for o in distinct if s and o and o != s and 100 * len(s & o) >= 75 * len(s | o)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("meet_sets", [11, jaccard_join.MEET_SETS])
+def test_jaccard_join_counts_all_links_of_large_groups(spark, monkeypatch, texts, meet_sets):
+    """Groups of more than FEW near copies, whose keys are hot, besides small ones; copies and a repeated id."""
+    monkeypatch.setattr(jaccard_join, "MEET_SETS", meet_sets)
+    rng = random.Random(21)
+    rows = [t for _, t in texts]
+    for size in (17, 60):
+        base = [f"{rng.choice('pqrst')}{rng.randrange(900)}" for _ in range(80)]
+        for _ in range(size):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"z{rng.randrange(9000)}"
+            rows.append(" ".join(copy))
+    rows += rows[-5:]
+    many = list(enumerate(rows))
+    got = {r.doc_id: r.n_links for r in jaccard_join.jaccard_components(spark.createDataFrame([*many, many[-1]], DOCS)).collect()}
+    expected = brute_links(many)
+    assert max(expected.values()) > jaccard_join.FEW
+    assert got == expected
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], DOCS)).count() == 0
 
