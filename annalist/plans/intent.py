@@ -140,8 +140,8 @@ def _years(model: Model, filters: dict) -> DataFrame:
     return dates.groupBy("qid").agg(F.min("year").alias("year"))
 
 
-def answer(model: Model, intent: dict, limit: int = 200, strict: bool = False) -> Answer:
-    """The plan of an intent. Ties of its order are broken by the item's id, which the answer does not show."""
+def answer(model: Model, intent: dict, limit: int | None = 200, strict: bool = False) -> Answer:
+    """The plan of an intent; a limit of None shows all rows. Ties of its order are broken by the item's id, which the answer does not show."""
     if not isinstance(intent, dict):
         raise Unsupported("the intent is no object")
     target, field, filters = intent.get("target_type"), intent.get("answer_field"), intent.get("filters") or {}
@@ -173,7 +173,8 @@ def answer(model: Model, intent: dict, limit: int = 200, strict: bool = False) -
         order, shown = [F.asc_nulls_last("year"), *by_sites], ["label", "year", "sitelinks"]
     if filters.get("name"):
         order = by_sites
-    return Answer(rows.orderBy(*order).limit(limit).select(*shown), compiler.dropped)
+    rows = rows.orderBy(*order)
+    return Answer((rows if limit is None else rows.limit(limit)).select(*shown), compiler.dropped)
 
 
 def _facts(model: Model, mention: str, n: int) -> DataFrame:

@@ -1,16 +1,18 @@
 """Sources, extraction, text and time functions, closures, intents and streaming on small inputs."""
 
 import json
+from dataclasses import replace
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.functions.text import fuzzy_labels, jaro_winkler, title_match, word_match
 from annalist.functions.time import century_bucket, century_floor, parse_time
 from annalist.model import SCHEMAS, Model, empty_model, load, save
 from annalist.operators import closure as graph
 from annalist.operators.resolve import resolve_lines
-from annalist.plans import library
+from annalist.plans import library, registry
 from annalist.plans.intent import Unsupported, answer
 from annalist.sources import dump, intents, tables
 from annalist.streaming.ingest import Status, ingest
@@ -104,6 +106,16 @@ def test_unsupported_intents(spark):
     assert answer(model, {"target_type": "work", "filters": {"domain": "cooking"}}).dropped == ["domain=cooking"]
 
 
+def test_intents_are_cut_only_by_the_composers_limit(spark):
+    model = empty_model(spark)
+    model = replace(model, items=spark.createDataFrame([(f"Q{i}", "same") for i in range(250)], "qid string, label string").select(*(F.col(f.name) if f.name in ("qid", "label") else F.lit(None).cast(f.dataType).alias(f.name) for f in model.items.schema)))
+    asked = {"target_type": "work", "filters": {"name": "same"}}
+    assert answer(model, asked).rows.count() == 200
+    assert answer(model, asked, registry.ALL).rows.count() == 250
+    plan = answer(model, asked, registry.ALL).rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan
+
+
 def test_find_json():
     assert intents.find_json('so: {"a": {"b": "}"}} end') == {"a": {"b": "}"}}
     assert intents.strip_fence("```sql\nselect 1\n```") == "select 1"
