@@ -5,10 +5,10 @@ shingles (fewer words: the whole sequence as one; no words or null: the empty se
 when their Jaccard similarity is at least `threshold` (a whole percentage, compared in integers).
 
 How it runs at scale:
-  1. `word_counts` counts all words of the corpus in a hashed table of fixed size (2**20 counters, 4 MB).
-  2. One pass makes each text's shingles, ordered rarest first by the count of their rarest word, which bounds the
-     shingle's own count from above. Only the prefix that a partner must share is kept; shingles whose rarest word
-     occurs once in the corpus occur once themselves and are left out (their positions still count).
+  1. One pass makes each text's shingles, and each range of their keys is counted by one task, so every shingle is ordered
+     by its own count in the corpus, rarest first.
+  2. Only the prefix that a partner must share is kept; shingles that one set alone has come first in the order, take
+     up places and are left out.
   3. Equal sets are one class, so copies never multiply pairs. Entries travel packed, once. Where they meet, the sets of a
      key that few sets have are paired at once, and the entries of hot keys are passed on.
   4. Round one links every member of a hot key's group to the hub of its size band and of the next (linear in the group),
@@ -29,15 +29,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.llm.common import chunks, connected_components, materialize
 from annalist.llm.shingles import mix, shingles, words
 
-COUNTERS = 1 << 20
-SLICES = 32
-SEEN = 200_000
+SEEN = 100_000
+KEY_BITS = 8  # of a key, beyond those that it takes to count all shingles
+BLOCK_ENTRIES = 600_000  # shingles of the texts that one block holds, about
+RANGE_ENTRIES = 1_500_000  # shingles of the key range that one task counts
 PART_ENTRIES = 1_500_000
 BAND = 1.08
 BITMAP = 16  # 64-bit words of a set's parity bitmap
@@ -50,34 +52,6 @@ MEET_SETS = 2_000  # sets of a slice that meets other slices of its component
 MEET_SHINGLES = 500_000  # and their shingles
 
 
-def word_counts(texts: DataFrame, column: str = "text", counters: int = COUNTERS) -> np.ndarray:
-    """Occurrences of all words, added up in `counters` hashed counters (so never too low)."""
-    size = counters // SLICES
-
-    def local(batches):
-        total = np.zeros(counters, np.int64)
-        for batch in chunks(batches, column):
-            w, _ = words(batch.column(column))
-            total += np.bincount((w & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
-        total = np.minimum(total, 2**31 - 1).astype(np.int32)
-        parts = [(s, total[s * size : (s + 1) * size]) for s in range(SLICES)]
-        parts = [(s, x.tobytes()) for s, x in parts if x.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], names=["slice", "counts"])
-
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column("counts"):
-                total += np.frombuffer(x.as_py(), np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["slice", "counts"])
-
-    parts = texts.select(column).mapInArrow(local, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
-    out = np.zeros(counters, np.int32)
-    for row in parts.collect():  # at most SLICES rows and counters * 4 bytes, whatever the corpus
-        out[row.slice * size : (row.slice + 1) * size] = np.frombuffer(row.counts, np.int32)
-    return out
-
-
 def prefix_length(n: int, percent: int) -> int:
     """How many of its first shingles a set of n must show so that every partner shares one of them."""
     return n - -(-n * percent // 100) + 1
@@ -105,7 +79,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in chunks(batches, "text"):
             n, c, bits = [], [], []
-            for h, _ in shingles(batch.column("text"), k):
+            for h in shingles(batch.column("text"), k):
                 n.append(len(h)), c.append(set_code(h))
                 odd = np.bincount((h >> shift).astype(np.int64), minlength=64 * BITMAP) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
@@ -133,43 +107,127 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
 ENTRY = (np.uint32, np.uint32, np.int64, np.int32, np.int32)  # key's low and high word, c, n, place
 
 
-def shared_entries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, parts: int) -> DataFrame:
-    """Candidates (n, c, m, d) of sets (n, c) and (m, d) that share a key which few sets have; with m = -1, the entries
-    (key, n, c, place) of hot keys.
+ROW = "dest long, block long, part int, payload array<binary>"
 
-    Entries travel once, packed by part of the key space. A part's task streams them and holds at most FEW entries of
-    every key (keys are dealt evenly, whatever their counts); a hot key's entries are passed on at once.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(counts)
 
-    def emit(pending: list):
-        keys, c, n, place = (np.concatenate(x) for x in zip(*pending, strict=True))
-        part = (mix(keys) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        bounds = np.searchsorted(part[order], np.arange(parts + 1))
-        low, high = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
-        own = [order[bounds[p] : bounds[p + 1]] for p in range(parts)]
-        full = [p for p in range(parts) if len(own[p])]
-        blobs = [_pack(low[own[p]], high[own[p]], c[own[p]], n[own[p]], place[own[p]]) for p in full]
-        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+def _row(dest: int, block: int, part: int, payload: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([dest], pa.int64()), pa.array([block], pa.int64()), pa.array([part], pa.int32()), pa.array([payload], pa.list_(pa.binary()))], names=["dest", "block", "part", "payload"])
+
+
+def frequency_code(times: np.ndarray) -> np.ndarray:
+    """A byte that grows with a count: itself below 16, then eight steps for each doubling."""
+    large = 16 + np.floor(8 * np.log2(np.maximum(times, 16) / 16))
+    return np.minimum(np.where(times < 16, times, large), 255).astype(np.uint8)
+
+
+def prefix_entries(docs: DataFrame, k: int, percent: int, total: int, parts: int) -> DataFrame:
+    """(part, blob): the prefix entries of all sets, packed by part of the key space.
+
+    A shingle's key is the upper part of its hash, KEY_BITS bits more than it takes to count all shingles; two shingles of
+    one key only make a candidate that the verification rejects. A block of texts sends its distinct keys, with the
+    number of its sets that have them, to the task that counts that range of keys over the corpus, and gets a byte for every
+    key back. So a key that a third of all sets have arrives once for each block. Then the block puts each set's keys
+    in order, rarest first, and keeps those of the prefix; keys that one set has come first and are left out.
+    """
+    bits = min(64, max(int(total).bit_length(), 1) + KEY_BITS)
+    ranges = 1 + total // RANGE_ENTRIES
+    step = -(-(1 << bits) // ranges)  # below 2**32, as RANGE_ENTRIES and KEY_BITS are
+
+    def block_rows(block, hashes, codes, sizes):
+        keys = np.concatenate(hashes) >> np.uint64(64 - bits)
+        owner = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        times = np.diff(np.append(first, len(keys))).astype(np.uint32)
+        keys = keys[first]
+        own = keys // np.uint64(step)
+        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist()
+        yield _row(-1 - block, block, -1, [np.array(codes, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), _pack(owner), _pack(times)])
+        for a, b in zip(cut, [*cut[1:], len(keys)], strict=True):
+            part = int(own[a])
+            inside = (keys[a:b] - np.uint64(part * step)).astype(np.uint32)
+            yield _row(part, block, part, [_pack(np.diff(inside, prepend=np.uint32(0)), times[a:b])])
 
     def local(batches):
-        counts, seen, pending, size = held.value, set(), [], 0
+        task = TaskContext.get()
+        block = (task.partitionId() if task else 0) << 32
+        seen, hashes, codes, sizes, size = set(), [], [], [], 0
         for batch in chunks(batches, "text"):
-            for h, rank in shingles(batch.column("text"), k, counts):
+            for h in shingles(batch.column("text"), k):
                 code = (set_code(h), len(h))
                 if not len(h) or code in seen:  # a copy that this task has met adds nothing
                     continue
                 if len(seen) < SEEN:
                     seen.add(code)
-                at = np.flatnonzero(rank[: prefix_length(len(h), percent)] > 1)
-                pending.append((h[at], np.full(len(at), code[0], np.int64), np.full(len(at), code[1], np.int32), at.astype(np.int32)))
-                size += len(at)
-            if size > PART_ENTRIES // 2:
-                yield emit(pending)
-                pending, size = [], 0
+                hashes.append(h), codes.append(code[0]), sizes.append(code[1])
+                size += len(h)
+                if size > BLOCK_ENTRIES:
+                    yield from block_rows(block, hashes, codes, sizes)
+                    block, hashes, codes, sizes, size = block + 1, [], [], [], 0
         if size:
-            yield emit(pending)
+            yield from block_rows(block, hashes, codes, sizes)
+
+    def count(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if key[0].as_py() < 0:
+            for batch in batches:
+                yield batch.select(["dest", "block", "part", "payload"])
+            return
+        part, blocks, keys, times = key[0].as_py(), [], [], []
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+                steps, n = _unpack(payload[0], (np.uint32, np.uint32))
+                blocks.append(block), keys.append(np.cumsum(steps, dtype=np.uint32)), times.append(n)
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        fresh = np.append(True, every[order][1:] != every[order][:-1])
+        sums = np.add.reduceat(np.concatenate(times)[order].astype(np.int64), np.flatnonzero(fresh))
+        codes = np.empty(len(every), np.uint8)
+        codes[order] = frequency_code(sums)[np.cumsum(fresh) - 1]
+        at = 0
+        for block, own in zip(blocks, keys, strict=True):
+            code = codes[at : at + len(own)]
+            at += len(own)
+            often = own[code > 1]
+            yield _row(0, block, part, [_pack(code), _pack(np.diff(often, prepend=np.uint32(0)))])
+
+    def assemble(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(((p, x) for batch in batches for p, x in zip(batch.column("part").to_pylist(), batch.column("payload").to_pylist(), strict=True)), key=lambda r: r[0])
+        set_codes, sizes, owner, times = rows[0][1]
+        set_codes, sizes = np.frombuffer(set_codes, np.int64), np.frombuffer(sizes, np.int32)
+        (owner,), (times,) = _unpack(owner, (np.uint32,)), _unpack(times, (np.uint32,))
+        codes = np.concatenate([_unpack(x[0], (np.uint8,))[0] for _, x in rows[1:]])
+        keys = np.concatenate([np.cumsum(_unpack(x[1], (np.uint32,))[0], dtype=np.uint32).astype(np.uint64) + np.uint64(p * step) for p, x in rows[1:]])
+        often = codes > 1
+        owner = owner[np.repeat(often, times)].astype(np.int64)
+        keys, code = np.repeat(keys, times[often]), np.repeat(codes[often], times[often])
+        order = np.lexsort((keys, code, owner))
+        owner, keys = owner[order], keys[order]
+        shared = np.bincount(owner, minlength=len(sizes))
+        place = np.arange(len(owner)) - (np.cumsum(shared) - shared)[owner] + (sizes - shared)[owner]
+        shown = np.array([prefix_length(n, percent) for n in sizes.tolist()])
+        kept = place < shown[owner]
+        owner, keys, place = owner[kept], keys[kept], place[kept].astype(np.int32)
+        c, n = set_codes[owner], sizes[owner]
+        part = (mix(keys) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1])) if len(order) else np.zeros(0, np.int64)
+        low, high = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint32)
+        own = np.split(order, cut[1:]) if len(order) else []
+        yield pa.RecordBatch.from_arrays([pa.array(part[order][cut], pa.int32()), pa.array([_pack(low[x], high[x], c[x], n[x], place[x]) for x in own], pa.binary())], names=["part", "blob"])
+
+    counted = docs.select("text").mapInArrow(local, ROW).groupBy("dest").applyInArrow(count, ROW)
+    return counted.groupBy("block").applyInArrow(assemble, "part int, blob binary")
+
+
+def shared_entries(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+    """Candidates (n, c, m, d) of sets (n, c) and (m, d) that share a key which few sets have; with m = -1, the entries
+    (key, n, c, place) of hot keys.
+
+    A part's task streams its entries and holds at most FEW entries of every key (keys are dealt evenly, whatever their
+    counts); a hot key's entries are passed on at once.
+    """
+    parts = 1 + total * (100 - percent) // 100 // PART_ENTRIES
 
     def merge(held, new):
         """held: (keys, c, n, place, hot) sorted by key; returns the new held and the entries of hot keys to pass on.
@@ -178,7 +236,7 @@ def shared_entries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, pa
         """
         keys, c, n, place = (np.concatenate((a, *b)) for a, b in zip(held[:4], zip(*new, strict=True), strict=True))
         hot = np.concatenate((held[4], np.zeros(len(keys) - len(held[4]), bool)))
-        order = np.lexsort((n, c, ~hot, keys))
+        order = np.lexsort((place, n, c, ~hot, keys))
         keys, c, n, place, hot = keys[order], c[order], n[order], place[order], hot[order]
         same = np.append(False, (keys[1:] == keys[:-1]) & (c[1:] == c[:-1]) & (n[1:] == n[:-1]) & ~hot[:-1])
         keys, c, n, place, hot = keys[~same], c[~same], n[~same], place[~same], hot[~same]
@@ -236,7 +294,7 @@ def shared_entries(docs: DataFrame, k: int, percent: int, counts: np.ndarray, pa
         none = np.full(len(pairs), -1)
         yield rows(none, pairs[:, 0], pairs[:, 1], none, pairs[:, 2], pairs[:, 3])
 
-    return docs.select("text").mapInArrow(local, "part int, blob binary").groupBy("part").applyInArrow(collect, "key long, n long, c long, place int, m long, d long")
+    return prefix_entries(docs, k, percent, total, parts).groupBy("part").applyInArrow(collect, "key long, n long, c long, place int, m long, d long")
 
 
 def _fits(percent: int):
@@ -255,7 +313,7 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent:
 
     def sets(batches):
         for batch in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.sort(h).tobytes() for h, _ in shingles(batch.column("text"), k)], pa.large_binary()).cast(pa.binary())], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h.tobytes() for h in shingles(batch.column("text"), k)], pa.large_binary()).cast(pa.binary())], names=["id", "items"])
 
     items = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, items binary"), "sets")
     edges = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
@@ -323,7 +381,7 @@ def count_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 
     def sets(batches):
         for batch in chunks(batches, "text"):
-            got = [h for h, _ in shingles(batch.column("text"), k)]
+            got = list(shingles(batch.column("text"), k))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(h) for h in got], pa.int64()), pa.array([set_code(h) for h in got], pa.int64()), pa.array([h.tobytes() for h in got], pa.large_binary()).cast(pa.binary())], names=["rep", "n", "c", "items"])
 
     def meet(table: pa.Table) -> pa.Table:
@@ -361,9 +419,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = sets.select("c", "n", "rep")
     maps = sets.select(F.col("rep").alias("id"), "n", "bits")
     total = base.agg(F.sum("n")).first()[0] or 0
-    parts = 1 + total * (100 - percent) // 100 // PART_ENTRIES
-    entries = shared_entries(texts, k, percent, word_counts(texts), parts)
-    entries = materialize(entries, "entries")
+    entries = materialize(shared_entries(texts, k, percent, total), "entries")
     found = materialize(entries.where("m < 0").select("key", "n", "c", "place").distinct().join(reps, ["c", "n"]).select("key", F.col("rep").alias("id"), F.col("n"), F.col("place")), "hot")
     other = reps.select(F.col("c").alias("d"), F.col("n").alias("m"), F.col("rep").alias("rep2"))
     few = entries.where("m >= 0").select("n", "c", "m", "d").distinct().join(reps, ["c", "n"]).join(other, ["d", "m"]).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"))

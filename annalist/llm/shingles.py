@@ -63,11 +63,10 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed, np.searchsorted(starts, offsets, "left")
 
 
-def shingles(array: pa.Array, k: int, counts: np.ndarray | None = None):
-    """For each text: its distinct k-word shingles as (hashes, ranks), both sorted rarest first and then by hash.
+def shingles(array: pa.Array, k: int):
+    """For each text the sorted hashes of its distinct k-word shingles.
 
-    The rank of a shingle is the count of its rarest word, an upper bound of the shingle's own count; without counts
-    all ranks are 1. A text of fewer words is one shingle; a text without words gives empty arrays.
+    A text of fewer words is one shingle; a text without words gives an empty array.
     """
     w, first = words(array)
     if len(w) >= k:
@@ -75,26 +74,15 @@ def shingles(array: pa.Array, k: int, counts: np.ndarray | None = None):
         for j in range(k):
             whole += w[j : len(w) - k + 1 + j] * _MULT[j]
         whole = mix(whole)
-    rank = counts[(w & np.uint64(len(counts) - 1)).astype(np.int64)] if counts is not None else None
-    if rank is not None and len(w) >= k:
-        rarest = rank[: len(w) - k + 1]
-        for j in range(1, k):
-            rarest = np.minimum(rarest, rank[j : len(w) - k + 1 + j])
     for a, b in zip(first[:-1], first[1:], strict=True):
         n = b - a
         if n == 0:
-            yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            yield np.zeros(0, np.uint64)
         elif n < k:
             h = np.uint64(n)
             with np.errstate(over="ignore"):
                 for j in range(n):
                     h = h + w[a + j] * _MULT[j + 32]
-            yield mix(np.array([h], np.uint64)), np.array([rank[a:b].min() if rank is not None else 1], np.int64)
+            yield mix(np.array([h], np.uint64))
         else:
-            h, at = np.unique(whole[a : b - k + 1], return_index=True)
-            if rank is None:
-                yield h, np.ones(len(h), np.int64)
-            else:
-                r = rarest[a : b - k + 1][at]
-                order = np.argsort(r, kind="stable")
-                yield h[order], r[order]
+            yield np.unique(whole[a : b - k + 1])
