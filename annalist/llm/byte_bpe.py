@@ -5,9 +5,12 @@ joins the ids back and puts them in order by position; `decode` joins the token-
 
 Exploding every pre-token of every text to a row of its own would move several times the input, so positions are
 pre-aggregated: a block of about `BLOCK` bytes of whole texts holds its distinct pre-tokens and, as a packed array, the
-place of each position's pre-token among them. A block sends its distinct pre-tokens, dealt to PARTS by their hash, to the
-task that encodes all pre-tokens of that part, and gets their ids back; its packed positions are shuffled once.
-A null text counts as empty and gives no ids. Rows may repeat; each is encoded. Other columns are dropped.
+place of each position's pre-token among them. A block sends its distinct pre-tokens, dealt to parts by their hash, to the
+task that encodes the distinct pre-tokens of that part, each once, and gets their ids back; its packed positions are
+shuffled once. There is a part for each PART_BYTES of text, so a part's pre-tokens fit a task at any size. Decoding is a
+map-side join: the token-byte table has as many rows as the vocabulary, whatever the corpus.
+A null text counts as empty and gives no ids. Rows may repeat, and ids may be null; each row is encoded. Other columns are
+dropped. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ import heapq
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
@@ -30,11 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import chunks
+from annalist.llm.common import chunks, tidy
 
 BLOCK = 8 << 20
-PARTS = 64
-CACHE = 1_000_000
+PART_BYTES = 16 << 20
 RANKS = "byte_bpe_50k.tiktoken"
 
 _WIDE = regex.compile(public_tokenizers.PATTERN.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
@@ -104,47 +107,48 @@ def _row(block: int, part: int, payload: list[bytes]) -> pa.RecordBatch:
 ROW = "block long, part int, payload array<binary>"
 
 
-def _blocks(batches):
+def _blocks(parts: int):
     """For each block a row of part -1 (ids, pre-token counts, packed places) and a row of distinct pre-tokens per part.
 
     Places count the distinct pre-tokens part by part, in the order in which those rows hold them.
     """
-    task = TaskContext.get()
-    base = (task.partitionId() if task else 0) << 32
-    state = None
 
-    def rows():
-        known, places, ids, sizes, _ = state
+    def rows(block, known, places, ids, sizes):
         words = list(known)
-        parts = np.array([zlib.crc32(w.encode()) % PARTS for w in words], np.int64)
+        part = np.array([zlib.crc32(w.encode()) % parts for w in words], np.int64)
         # Frequent pre-tokens first, so that their places are small numbers and pack well.
         flat = np.frombuffer(places, np.uint32)
-        order = np.lexsort((-np.bincount(flat, minlength=len(words)), parts))
+        order = np.lexsort((-np.bincount(flat, minlength=len(words)), part))
         rank = np.empty(len(words), np.uint32)
         rank[order] = np.arange(len(words), dtype=np.uint32)
-        yield _row(base, -1, [np.array(ids, np.int64).tobytes(), np.array(sizes, np.uint32).tobytes(), _pack(rank[flat])])
-        bounds = np.searchsorted(parts[order], np.arange(PARTS + 1))
-        for p in range(PARTS):
-            own = [words[i] for i in order[bounds[p] : bounds[p + 1]]]
-            if own:
-                lens = np.array([len(w.encode()) for w in own], np.uint32)
-                yield _row(base, p, [zstandard.compress(lens.tobytes(), 3), zstandard.compress("".join(own).encode(), 3)])
-
-    for batch in chunks(batches, "text", BLOCK):
-        for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            state = state or ({}, array("I"), [], [], 0)
-            known, places, ids, sizes, total = state
-            found = pretokens(text or "")
-            for word in set(found).difference(known):
-                known[word] = len(known)
-            places.extend(map(known.__getitem__, found))
-            ids.append(key), sizes.append(len(found))
-            state = (known, places, ids, sizes, total + len(text or ""))
-            if state[4] >= BLOCK:
-                yield from rows()
-                base, state = base + 1, None
-    if state:
-        yield from rows()
+        known_id = np.array([x is not None for x in ids], np.uint8)
+        yield _row(block, -1, [np.array([x or 0 for x in ids], np.int64).tobytes(), known_id.tobytes(), np.array(sizes, np.uint32).tobytes(), _pack(rank[flat])])
+        own = part[order]
+        cut = np.flatnonzero(np.append(True, own[1:] != own[:-1])).tolist() if len(own) else []
+        for a, b in zip(cut, [*cut[1:], len(own)], strict=False):
+            mine = [words[i].encode() for i in order[a:b]]
+            yield _row(block, int(own[a]), [zstandard.compress(np.array(list(map(len, mine)), np.uint32).tobytes(), 3), zstandard.compress(b"".join(mine), 3)])
+
+    def run(batches):
+        task = TaskContext.get()
+        block = (task.partitionId() if task else 0) << 32
+        known, places, ids, sizes, total = {}, array("I"), [], [], 0
+        for batch in chunks(batches, "text"):
+            for key, text in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                found = pretokens(text or "")
+                for word in set(found).difference(known):
+                    known[word] = len(known)
+                places.extend(map(known.__getitem__, found))
+                ids.append(key), sizes.append(len(found))
+                total += len(text or "")
+                if total >= BLOCK:
+                    yield from rows(block, known, places, ids, sizes)
+                    block += 1
+                    known, places, ids, sizes, total = {}, array("I"), [], [], 0
+        if ids:
+            yield from rows(block, known, places, ids, sizes)
+
+    return run
 
 
 def _only_words(batches):
@@ -155,32 +159,30 @@ def _only_words(batches):
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
     """(id_col long, tokens binary): the token ids of each text as little-endian unsigned 32-bit integers."""
     path = ranks_path or public_tokenizers.path(RANKS)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    parts = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
     deal = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(_blocks, ROW).repartition(deal, "block")
+    blocks = texts.mapInArrow(tidy(_blocks(parts)), ROW).repartition(deal, "block")
 
-    def run(batches):
-        # A part's distinct pre-tokens are encoded once each; the cache holds those of the parts at hand.
-        ranks, cache = load_ranks(path), {}
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks, book = load_ranks(path), {}  # the part's distinct pre-tokens, each encoded once
         for batch in batches:
             for block, part, (lens, flat) in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "payload")), strict=True):
                 ends = np.cumsum(np.frombuffer(zstandard.decompress(lens), np.uint32)).tolist()
                 flat = zstandard.decompress(flat)
                 codes, start = [], 0
-                if len(cache) > CACHE:
-                    cache.clear()
                 for end in ends:
                     word = flat[start:end]
                     start = end
-                    code = cache.get(word)
+                    code = book.get(word)
                     if code is None:
-                        code = cache[word] = np.array(merge_word(word, ranks), "<u4").tobytes()
+                        code = book[word] = np.array(merge_word(word, ranks), "<u4").tobytes()
                     codes.append(code)
                 sizes = np.array([len(c) // 4 for c in codes], np.uint32)
                 yield _row(block, part, [_pack(sizes), _pack(np.frombuffer(b"".join(codes), np.uint32))])
 
     # mapInArrow drops the position rows, not a filter, so that both uses of `blocks` read one and the same exchange.
-    codes = blocks.mapInArrow(_only_words, ROW).repartition(deal, "part").mapInArrow(run, ROW)
+    codes = blocks.mapInArrow(_only_words, ROW).groupBy("part").applyInArrow(tidy(run), ROW)
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         head = [p for part, p in zip(left.column("part").to_pylist(), left.column("payload").to_pylist(), strict=True) if part < 0]
@@ -190,7 +192,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
         lens = np.concatenate([_unpack(b[0]) for _, b in books] or [np.zeros(0, np.uint32)]).astype(np.int64)
         flat = np.concatenate([_unpack(b[1]) for _, b in books] or [np.zeros(0, np.uint32)])
         starts = np.cumsum(lens) - lens
-        (ids, sizes, places), at, out = head[0], 0, []
+        (ids, known, sizes, places), at, out = head[0], 0, []
         places = _unpack(places)
         for size in np.frombuffer(sizes, np.uint32).tolist():
             own = places[at : at + size]
@@ -198,7 +200,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             n = lens[own]
             index = np.arange(int(n.sum())) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
             out.append(flat[index].astype("<u4").tobytes())
-        return pa.table({"id": pa.array(np.frombuffer(ids, np.int64)), "tokens": pa.array(out, pa.binary())})
+        return pa.table({"id": pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(known, np.uint8) == 0), "tokens": pa.array(out, pa.binary())})
 
     return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(assemble, "id long, tokens binary").toDF(id_col, "tokens")
 
@@ -219,4 +221,4 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", ranks_path: str | None
             texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(tokens_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return tokens.mapInArrow(run, out)
+    return tokens.mapInArrow(tidy(run), out)

@@ -6,7 +6,8 @@ covers a whole block of (n + 1) // 2 words that starts at a multiple of that len
 hashed into a bitmap of fixed size that every task holds, each document's aligned blocks are scanned against it, and the
 windows around the few blocks that it lets through are joined with the benchmark's windows, which verifies the hit. The
 windows are broadcast only if there are at most BROADCAST_WINDOWS of them, otherwise both sides are shuffled.
-Null texts have no words and no hits; an empty benchmark hits nothing; rows of equal id and text give one row.
+Null texts have no words and no hits; an empty benchmark hits nothing. Every row gives one row, repeated ones and ones of a
+null id too. A shuffled window is salted, so that one that a third of all texts hold is spread over SALTS tasks.
 """
 
 from __future__ import annotations
@@ -18,11 +19,14 @@ from pyspark.sql import functions as F
 
 BITMAP_BITS = 1 << 20
 BROADCAST_WINDOWS = 200_000
+SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
 # A word with the separators before it, and what follows the last word.
-TOKEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TAIL = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*$"
+# Both begin where a gap begins and give nothing back, so long gaps take linear time.
+GAP = r"(?<![\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*+"
+TOKEN = GAP + r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]++"
+TAIL = GAP + r"\z"
 
 
 def words(text: Column) -> Column:
@@ -81,27 +85,32 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = 8, id_col: str = "doc_i
     total = windows.count()
     for row in lanes.collect():  # at most k * BITMAP_BITS / 64 rows, whatever the benchmark
         found.setdefault(row.len, [0] * (BITMAP_BITS // 64))[row.lane] = row.bits
-    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), words(F.col(text_col)).alias("w"))
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
     names = []
     for n in sorted(found):
         base = base.withColumn(f"k{n}", _block_hashes(block_size(n)))
         names.append(n)
     parts = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit("").alias("window")))]
     parts += [_candidates(n, F.from_json(F.lit(json.dumps(found[n])), "array<bigint>")) for n in names]
-    near = base.select("id", "h", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*parts)).alias("c")).select("id", "h", "n_words", "c.*")
-    table = F.broadcast(windows) if total <= BROADCAST_WINDOWS else windows
-    met = near.join(table, ["len", "window"], "left").where("at = -1 OR items IS NOT NULL")
+    near = base.select("id", "h", "row", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*parts)).alias("c")).select("id", "h", "row", "n_words", "c.*")
+    if total <= BROADCAST_WINDOWS:
+        met = near.join(F.broadcast(windows), ["len", "window"], "left")
+    else:
+        spread = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = near.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["len", "window", "salt"], "left")
+    met = met.where("at = -1 OR items IS NOT NULL")
     spans = F.collect_list(F.when(F.col("at") >= 0, F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)))
-    out = met.groupBy("id", "h", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = met.groupBy("id", "h", "row", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return out.select(F.col("id").alias(id_col), "h", "n_words", "hit", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 8, max_items: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without benchmark passages: a document in which windows of more than `max_items` items occur is removed, from
     the others the hit words are cut out with the separators before them. Untouched rows stay as they are."""
-    found = hits(docs, benchmark, k, id_col, text_col).where("size(hit) > 0").select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), "hit", "items")
-    joined = docs.join(found, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left").where(F.coalesce(F.size("items"), F.lit(0)) <= max_items)
+    found = hits(docs, benchmark, k, id_col, text_col).where("size(hit) > 0").select(F.col(id_col).alias("__id"), F.col("h").alias("__h"), F.col("hit").alias("__hit"), F.size("items").alias("__items"))
+    found = found.dropDuplicates(["__id", "__h"])
+    joined = docs.join(found, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__h")), "left").where(F.coalesce("__items", F.lit(0)) <= max_items)
     tokens = F.regexp_extract_all(text_col, F.lit(TOKEN), F.lit(0))
-    left = F.array_join(F.filter(tokens, lambda _, i: ~F.array_contains("hit", i)), "")
+    left = F.array_join(F.filter(tokens, lambda _, i: ~F.array_contains("__hit", i)), "")
     cut = F.concat(left, F.regexp_extract(text_col, TAIL, 0))
-    return joined.withColumn(text_col, F.when(F.col("hit").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col("__hit").isNotNull(), cut).otherwise(F.col(text_col))).select(*docs.columns)

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import chunks, connected_components, materialize
+from annalist.llm.common import chunks, connected_components, discard, materialize, tidy
 from annalist.llm.shingles import mix, shingles, words
 
 SEEN = 100_000
@@ -85,7 +85,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 bits.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(bits, pa.list_(pa.int64()))], names=["id", "n", "c", "bits"])
 
-    return docs.mapInArrow(run, "id long, n long, c long, bits array<long>")
+    return docs.mapInArrow(tidy(run), "id long, n long, c long, bits array<long>")
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -216,8 +216,8 @@ def prefix_entries(docs: DataFrame, k: int, percent: int, total: int, parts: int
         own = np.split(order, cut[1:]) if len(order) else []
         yield pa.RecordBatch.from_arrays([pa.array(part[order][cut], pa.int32()), pa.array([_pack(low[x], high[x], c[x], n[x], place[x]) for x in own], pa.binary())], names=["part", "blob"])
 
-    counted = docs.select("text").mapInArrow(local, ROW).groupBy("dest").applyInArrow(count, ROW)
-    return counted.groupBy("block").applyInArrow(assemble, "part int, blob binary")
+    counted = docs.select("text").mapInArrow(tidy(local), ROW).groupBy("dest").applyInArrow(tidy(count), ROW)
+    return counted.groupBy("block").applyInArrow(tidy(assemble), "part int, blob binary")
 
 
 def shared_entries(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
@@ -294,7 +294,7 @@ def shared_entries(docs: DataFrame, k: int, percent: int, total: int) -> DataFra
         none = np.full(len(pairs), -1)
         yield rows(none, pairs[:, 0], pairs[:, 1], none, pairs[:, 2], pairs[:, 3])
 
-    return prefix_entries(docs, k, percent, total, parts).groupBy("part").applyInArrow(collect, "key long, n long, c long, place int, m long, d long")
+    return prefix_entries(docs, k, percent, total, parts).groupBy("part").applyInArrow(tidy(collect), "key long, n long, c long, place int, m long, d long")
 
 
 def _fits(percent: int):
@@ -315,7 +315,7 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent:
         for batch in chunks(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([h.tobytes() for h in shingles(batch.column("text"), k)], pa.large_binary()).cast(pa.binary())], names=["id", "items"])
 
-    items = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, items binary"), "sets")
+    items = materialize(texts.join(wanted, "id", "left_semi").mapInArrow(tidy(sets), "id long, items binary"), "sets")
     edges = np.arange(1, 64, dtype=np.uint64) << np.uint64(58)
 
     def check(batches):
@@ -334,7 +334,7 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent:
 
     left = items.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = items.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -403,7 +403,7 @@ def count_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 
     wanted = texts.join(members.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
     # A set's smallest id may carry other texts too, and the same one again.
-    items = wanted.mapInArrow(sets, "rep long, n long, c long, items binary").join(members, ["rep", "n", "c"]).dropDuplicates(["n", "c"])
+    items = wanted.mapInArrow(tidy(sets), "rep long, n long, c long, items binary").join(members, ["rep", "n", "c"]).dropDuplicates(["n", "c"])
     sliced = items.withColumn("slice", F.pmod(F.xxhash64("n", "c"), F.col("slices")).cast("int"))
     met = sliced.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select("comp", "rep", "slice", F.least("slice", "to").alias("i"), F.greatest("slice", "to").alias("j"), "items")
     return met.groupBy("comp", "i", "j").applyInArrow(meet, "rep long, inside long").groupBy("rep").agg(F.sum("inside").alias("inside"))

@@ -17,7 +17,7 @@ _MULT = _RNG.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
         n = max(n, 1 << 20)
         for key, base in (("up", _BASE), ("down", _INVERSE)):
@@ -44,11 +44,13 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order and, for each text, the index of its first word (one entry more than texts)."""
+def word_spans(array: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words in order, the index of each text's first word (one entry more than texts), where each word begins
+    and ends in the bytes, the bytes, and where each text begins in them (one entry more)."""
     data, offsets = text_bytes(array)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), none, none, data, offsets
     token = ~_SPACE[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
@@ -56,11 +58,15 @@ def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = np.concatenate((token[1:], [False]))
     starts = np.flatnonzero(token & (~before | cut[:-1]))
     ends = np.flatnonzero(token & (~after | cut[1:])) + 1
-    up, down = _powers(len(data) + 1)
+    up, down = powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
     hashed = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashed, np.searchsorted(starts, offsets, "left")
+    return hashed, np.searchsorted(starts, offsets, "left"), starts, ends, data, offsets
+
+
+def words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return word_spans(array)[:2]
 
 
 def shingles(array: pa.Array, k: int):

@@ -1,43 +1,44 @@
 """Substring dedup over sliding runs of consecutive sentences.
 
-A text is cut into sentences after . ! ? and at line ends. Sentences of more than WINDOW words are cut further, at word
-boundaries that their own words choose: of every WINDOW boundaries in a row inside a sentence, the ones of the least hash
-of the two words around them. So no piece has more than WINDOW words, and whether a boundary is a cut depends on nothing
-that is WINDOW words away, neither on the length of the sentence nor on the offset in the text.
+A text is cut into sentences after words that end in . ! or ? and at line ends. Sentences of more than WINDOW words are
+cut further, at word boundaries that their own words choose: of every WINDOW boundaries in a row inside a sentence, the
+ones of the least hash of the two words around them. So no piece has more than WINDOW words, and whether a boundary is a
+cut depends on nothing that is WINDOW words away, neither on the length of the sentence nor on the offset in the text.
 From every piece starts, and at every piece ends, the shortest run of at least `span` pieces and `min_words` words; every
-run is hashed (lower case, white space as one space). In a passage of 50 words, wherever it is spliced in, the cuts from
-the 10th to the 40th boundary are its own; one is among the first ten of them, and a run from there ends within 21 words.
-So with span 2 and min_words 12 every repeat of 50 words holds a run. The runs of all texts meet
-by hash; the first occurrence is the one of the smallest (id, position). Pieces that any other occurrence
-covers are removed, and with them the white space before them. Texts of fewer than `min_words` words lose nothing.
-Null texts stay null; rows of equal id and text are treated as one occurrence and are all cleaned alike.
+run is hashed (A-Z folded, white space as one space). In a passage of 50 words, wherever it is spliced in, the cuts from
+the 8th to the 42nd boundary are its own; one is among the first eight of them, and a run from there ends within 25
+words. So with span 2 and min_words 18 every repeat of 50 words holds a run, and a line of 17 words or fewer is none. The
+runs of all texts meet by hash; the first occurrence is the one of the smallest (id, position). Pieces that any other
+occurrence covers are removed, each with the white space before it (the first one with that after it). A text that loses
+every piece becomes empty. Texts of fewer than `min_words` words lose nothing.
+
+Null texts stay null and rows of a null id stay as they are (they neither take part nor lose anything, with n_removed 0).
+Rows of equal id and text are one occurrence and are all cleaned alike. Other columns are kept; columns called n_sentences
+or n_removed are replaced. White space is ASCII. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import chunks
+from annalist.llm.common import chunks, tidy
 from annalist.llm.jaccard_join import _pack, _unpack
-from annalist.llm.shingles import mix
-from annalist.llm.shingles import words as word_hashes
+from annalist.llm.shingles import mix, powers, word_spans
 
 SPAN = 2
-MIN_WORDS = 12
-WINDOW = 10  # word boundaries in a row, inside a sentence, of which one at least is a cut
+MIN_WORDS = 18
+WINDOW = 8  # word boundaries in a row, inside a sentence, of which one at least is a cut
 PART_ENTRIES = 600_000
 BLOCK_ENTRIES = 400_000
 RUN_BYTES = 16  # of text for each run, about
 ENTRY = (np.int64, np.int64, np.int64, np.int32, np.int32)  # hash, id, tag, first and last piece
-_SENTENCE = re.compile(r"\s*[^.!?\n]*(?:[.!?]+|\n|$)")
-_WORD = re.compile(r"\s*\S+")
+_STOP = np.zeros(256, bool)
+_STOP[[ord(c) for c in ".!?"]] = True
 
 
 def _slide(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
@@ -50,89 +51,73 @@ def _slide(x: np.ndarray, pick: np.ufunc) -> np.ndarray:
     return x
 
 
-def _cuts(words: list[str], ends: np.ndarray) -> np.ndarray:
-    """Numbers of words after which a sentence is cut; ends: numbers of words after which sentences end."""
-    h, _ = word_hashes(pa.array([" ".join(words)], pa.large_string()))
-    h = mix(h[:-1] + (h[1:] << np.uint64(1))) | np.uint64(1)  # of the boundary after word i + 1
-    end = np.zeros(len(h) + 1, np.int64)
-    end[ends[ends <= len(h)]] = 1
-    end[0] = 0
-    before = np.cumsum(end)
-    least = _slide(h, np.minimum)
-    least[before[WINDOW:] != before[:-WINDOW]] = 0  # windows that are not inside a sentence choose nothing
-    around = np.zeros(len(h) + WINDOW - 1, np.uint64)
-    around[WINDOW - 1 : len(h)] = least
-    return np.flatnonzero(_slide(around, np.maximum) == h) + 1
-
-
-def _sentences(text: str) -> tuple[list[str], list[list[str]], list[list[int]]]:
-    """The text's sentences, their words in lower case, and the numbers of their words after which each is cut."""
-    whole: list[str] = []
-    for piece in _SENTENCE.findall(text):
-        if not piece:
-            continue
-        if not piece.strip() and whole:
-            whole[-1] += piece
-        else:
-            whole.append(piece)
-    words = [s.lower().split() for s in whole]
-    if max(map(len, words), default=0) <= WINDOW:
-        return whole, words, [[]] * len(whole)
-    ends = np.cumsum([len(w) for w in words])
-    cuts = _cuts([x for w in words for x in w], ends)
-    found, first, begin = [], 0, 0
-    last, cuts = np.searchsorted(cuts, ends).tolist(), cuts.tolist()
-    for end, to in zip(ends.tolist(), last, strict=True):
-        found.append([c - begin for c in cuts[first:to]])
-        first, begin = to, end
-    return whole, words, found
+class Pieces:
+    """The pieces of all texts of an Arrow array: piece i has words start[i] to end[i], text t pieces first[t] to first[t + 1]."""
+
+    def __init__(self, array: pa.Array):
+        self.words, word, self.begins, self.ends, self.data, self.offsets = word_spans(array)
+        n = len(self.words)
+        stop = np.zeros(n, bool)  # a sentence ends after the word
+        stop[word[1:][word[1:] > word[:-1]] - 1] = True
+        if n:
+            stop |= _STOP[self.data[self.ends - 1]]
+            lines = np.concatenate(([0], np.cumsum(self.data == 10)))
+            stop[:-1] |= lines[self.begins[1:]] > lines[self.ends[:-1]]
+        cut = stop.copy()
+        if n > WINDOW:
+            h = mix(self.words[:-1] + (self.words[1:] << np.uint64(1))) | np.uint64(1)  # of the boundary after a word
+            before = np.concatenate(([0], np.cumsum(stop)))
+            least = _slide(h, np.minimum)
+            least[before[WINDOW:n] != before[: n - WINDOW]] = 0  # windows that are not inside a sentence choose nothing
+            around = np.zeros(n + WINDOW - 2, np.uint64)
+            around[WINDOW - 1 : n - 1] = least
+            cut[:-1] |= _slide(around, np.maximum) == h
+        self.end = np.flatnonzero(cut) + 1
+        self.start = np.concatenate(([0], self.end[:-1])) if len(self.end) else self.end
+        self.first = np.searchsorted(self.start, word, "left")
+
+    def runs(self, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, hash, first piece, last piece) of every run, pieces counted from the text's first."""
+        n = len(self.end)
+        owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        every = np.arange(n)
+        last = np.maximum(np.searchsorted(self.end, self.start + min_words, "left"), every + span - 1)
+        first = np.minimum(np.searchsorted(self.start, self.end - min_words, "right") - 1, every - span + 1)
+        a, b = last < self.first[owner + 1], first >= self.first[owner]
+        pair = np.unique(np.concatenate((every[a] * (n + 1) + last[a], first[b] * (n + 1) + every[b])))
+        first, last = pair // (n + 1), pair % (n + 1)
+        up, down = powers(len(self.words) + 1)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.words * up[: len(self.words)], dtype=np.uint64)))
+        begin, end = self.start[first], self.end[last]
+        code = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64)).view(np.int64)
+        text = owner[first]
+        return text, code, (first - self.first[text]).astype(np.int32), (last - self.first[text]).astype(np.int32)
+
+    def text(self, t: int) -> list[bytes]:
+        """Text t in parts that together are the text: the white space before its first piece, then each piece with the white
+        space before it (the last one also with that after it)."""
+        begin, stop = self.offsets[t], self.offsets[t + 1]
+        own = slice(self.first[t], self.first[t + 1])
+        if own.start == own.stop:
+            return [self.data[begin:stop].tobytes()]
+        bounds = [begin, self.begins[self.start[own.start]], *self.ends[self.end[own] - 1].tolist()[:-1], stop]
+        return [self.data[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+
+    def without(self, t: int, gone: set[int]) -> str:
+        """Text t without these pieces."""
+        lead, *pieces = self.text(t)
+        kept = [p for k, p in enumerate(pieces) if k not in gone]
+        if not kept:
+            return ""
+        if 0 in gone:
+            kept[0] = kept[0].lstrip(b" \t\n\v\f\r")
+        return (lead + b"".join(kept)).decode()
 
 
 def sentences(text: str) -> list[str]:
     """The pieces of the text, in order; joined they are the text again."""
-    out: list[str] = []
-    for piece, _, cuts in zip(*_sentences(text), strict=True):
-        if not cuts:
-            out.append(piece)
-            continue
-        units, bounds = _WORD.findall(piece), [0, *cuts]
-        out += ["".join(units[a:b]) for a, b in zip(bounds, cuts, strict=False)]
-        out.append("".join(units[cuts[-1] :]) + piece[len(piece.rstrip()) :])
-    return out
-
-
-def runs(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, int]]]:
-    """(number of pieces, runs as (hash, first, last piece))."""
-    pieces = [w[a:b] for _, w, cuts in zip(*_sentences(text), strict=True) for a, b in zip([0, *cuts], [*cuts, len(w)], strict=True)]
-    n = len(pieces)
-    size = [len(p) for p in pieces]
-    found: set[tuple[int, int]] = set()
-    last, total = -1, 0
-    for first in range(n):
-        while last + 1 < n and (total < min_words or last - first + 1 < span):
-            last += 1
-            total += size[last]
-        if total >= min_words and last - first + 1 >= span:
-            found.add((first, last))
-        else:
-            break
-        total -= size[first]
-    first, total = n, 0
-    for last in range(n - 1, -1, -1):
-        while first > 0 and (total < min_words or last - first + 1 < span):
-            first -= 1
-            total += size[first]
-        if total >= min_words and last - first + 1 >= span:
-            found.add((first, last))
-        else:
-            break
-        total -= size[last]
-    joined = [" ".join(p) for p in pieces]
-    out = []
-    for a, b in sorted(found):
-        h = xxhash.xxh3_64_intdigest(" ".join(joined[a : b + 1]).encode("utf-8", "surrogatepass"))
-        out.append((h - (1 << 64) if h >= 1 << 63 else h, a, b))
-    return n, out
+    lead, *pieces = Pieces(pa.array([text], pa.large_string())).text(0)
+    return [p.decode() for p in ((lead + pieces[0], *pieces[1:]) if pieces else (lead,))]
 
 
 def _split(blocks: list) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -177,10 +162,8 @@ def covered_runs(docs: DataFrame, span: int, min_words: int, parts: int) -> Data
     def local(batches):
         pending, size = [], 0
         for batch in chunks(batches, "text"):
-            got = [runs(t, span, min_words)[1] for t in batch.column("text").to_pylist()]
-            times = [len(rs) for rs in got]
-            ids, tags = (np.repeat(batch.column(c).to_numpy(), times) for c in ("id", "tag"))
-            code, first, last = (np.array([r[j] for rs in got for r in rs], kind) for j, kind in enumerate((np.int64, np.int32, np.int32)))
+            text, code, first, last = Pieces(batch.column("text")).runs(span, min_words)
+            ids, tags = (batch.column(c).to_numpy()[text] for c in ("id", "tag"))
             pending.append((code, ids, tags, first, last))
             size += len(code)
             if size > BLOCK_ENTRIES:
@@ -212,7 +195,7 @@ def covered_runs(docs: DataFrame, span: int, min_words: int, parts: int) -> Data
         if new:
             yield rows(_split([held, *new])[1])
 
-    return docs.mapInArrow(local, "part int, blob binary").groupBy("part").applyInArrow(collect, "id long, tag long, first int, last int")
+    return docs.mapInArrow(tidy(local), "part int, blob binary").groupBy("part").applyInArrow(collect, "id long, tag long, first int, last int")
 
 
 def clean(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,18 +207,15 @@ def clean(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_col:
     base = docs.withColumn("__tag", F.xxhash64(text_col))
     spans = spans.select(F.col("id").alias("__id"), F.col("tag").alias("__other"), "spans")
     joined = base.join(spans, (F.col(id_col) == F.col("__id")) & (F.col("__tag") == F.col("__other")), "left")
-    cols = [c for c in docs.columns if c != text_col]
+    cols = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed")]
     ready = joined.select(*cols, F.col(text_col).cast("string").alias("__text"), F.col("spans.first").alias("__first"), F.col("spans.last").alias("__last"))
     out = ready.select(*cols, F.col("__text").alias(text_col), F.lit(0).cast("long").alias("n_sentences"), F.lit(0).cast("long").alias("n_removed")).schema
 
     def cut(batches):
         for batch in chunks(batches, "__text"):
-            texts, counts, gone = [], [], []
-            for text, firsts, lasts in zip(*(batch.column(c).to_pylist() for c in ("__text", "__first", "__last")), strict=True):
-                drop = {k for a, b in zip(firsts or (), lasts or (), strict=True) for k in range(a, b + 1)}
-                pieces = sentences(text) if drop else []
-                texts.append("".join(p for k, p in enumerate(pieces) if k not in drop).lstrip() if drop else text)
-                counts.append(len(pieces) if drop else sum(1 + len(c) for c in _sentences(text or "")[2])), gone.append(len(drop))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=out.names)
-
-    return ready.mapInArrow(cut, out)
+            pieces = Pieces(batch.column("__text"))
+            gone = [{k for a, b in zip(x or (), y or (), strict=True) for k in range(a, b + 1)} for x, y in zip(batch.column("__first").to_pylist(), batch.column("__last").to_pylist(), strict=True)]
+            texts = [pieces.without(t, g) if g else text for t, (text, g) in enumerate(zip(batch.column("__text").to_pylist(), gone, strict=True))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in cols), pa.array(texts, pa.string()), pa.array(np.diff(pieces.first), pa.int64()), pa.array(list(map(len, gone)), pa.int64())], names=out.names)
+
+    return ready.mapInArrow(tidy(cut), out)

@@ -7,7 +7,9 @@ of 4 to 6 letters (hashed); those without a clear association (|z| < MIN_Z in th
 
 The models are fitted on the driver from at most `rows` labelled documents (smallest hash of the id: the documented
 bound of the sample); scoring is one pass over all documents. Null texts count as empty and get the base rates; null
-labels are no training rows; an empty sample scores every row 0.
+ids and null labels are no training rows, and of documents of equal id the least text is the labelled one; an empty
+sample scores every row 0. Every row is scored, repeated ones and ones of a null id too; kept columns that are called like
+a result are replaced by it. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,11 +19,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import chunks
+from annalist.llm.common import chunks, tidy
 
 ROWS = 8000
 BUCKETS = 1 << 20
@@ -133,7 +135,7 @@ def _features(texts: DataFrame, names: list[str]) -> DataFrame:
             rows = [np.unique(np.array([f for w in set(_WORD.findall((t or "").lower())) for f in word_features(w)], np.uint32)).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(n) for n in names), pa.array(rows, pa.binary())], names=["id", *names, "features"])
 
-    return texts.mapInArrow(run, "id long, " + ", ".join(f"{n} int" for n in names) + ", features binary")
+    return texts.mapInArrow(tidy(run), "id long, " + ", ".join(f"{n} int" for n in names) + ", features binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = CATEGORIES, rows: int = ROWS) -> Chain | None:
@@ -142,8 +144,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = labels.select(F.col(id_col).cast("long").alias("id"), *(F.col(c).cast("int").alias(c) for c in names)).dropna()
     few = few.groupBy("id").agg(*(F.max(c).alias(c) for c in names)).orderBy(F.xxhash64("id"), "id").limit(rows)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    got = _features(texts.join(F.broadcast(few), "id"), names).collect()  # few has at most `rows` rows
-    got = sorted({r.id: r for r in got}.values(), key=lambda r: zlib.crc32(str(r.id).encode()))
+    # few has at most `rows` rows, and a repeated id is one row before Python and the driver see it.
+    labelled = texts.join(F.broadcast(few), "id").groupBy("id", *names).agg(F.min("text").alias("text"))
+    got = sorted(_features(labelled, names).collect(), key=lambda r: zlib.crc32(str(r.id).encode()))
     if not got:
         return None
     return Chain([np.frombuffer(r.features, np.uint32).astype(np.int64) for r in got], np.array([[r[n] for n in names] for r in got]))
@@ -154,19 +157,21 @@ def label_categories(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", (1 - F.col("quality")).alias("low_quality"), F.col("toxic").alias("toxic"))
 
 
-def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = CATEGORIES, keep: tuple[Column | str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, chain: Chain | None, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = CATEGORIES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *keep, p_<category>..., toxic) for every row; `toxic` tells whether the last category's probability is 0.5 or more."""
     held = docs.sparkSession.sparkContext.broadcast(chain)
-    base = docs.select(F.col(id_col), *keep, F.col(text_col).cast("string").alias("__text"))
-    kept = base.columns[:-1]
-    out = T.StructType([*base.schema.fields[:-1], *(T.StructField(f"p_{c}", T.DoubleType()) for c in categories)])
+    made = [f"p_{c}" for c in categories]
+    kept = [c for c in dict.fromkeys((id_col, *keep)) if c not in (*made, "toxic")]
+    text = text_col if text_col in kept else "__text"  # the text goes to Python once
+    base = docs.select(*(F.col(c).cast("string").alias(c) if c == text else F.col(c) for c in kept), *([] if text in kept else [F.col(text_col).cast("string").alias(text)]))
+    out = T.StructType([*base.select(*kept).schema.fields, *(T.StructField(c, T.DoubleType()) for c in made)])
 
     def run(batches):
         chain, cache = held.value, {}
-        for batch in chunks(batches, "__text"):
-            texts = batch.column("__text").to_pylist()
+        for batch in chunks(batches, text):
+            texts = batch.column(text).to_pylist()
             probs = chain.score(texts, cache) if chain else [[0.0] * len(categories)] * len(texts)
             cols = [pa.array([p[j] for p in probs], pa.float64()) for j in range(len(categories))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *cols], names=out.names)
 
-    return base.mapInArrow(run, out).withColumn("toxic", F.col(f"p_{categories[-1]}") >= 0.5)
+    return base.mapInArrow(tidy(run), out).withColumn("toxic", F.col(made[-1]) >= 0.5)
