@@ -9,34 +9,38 @@ from annalist.llm import byte_bpe, decontamination, jaccard_join, substring_dedu
 from annalist.llm.common import materialize
 from annalist.llm.queries import table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def _resized(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    return docs.withColumn("n_chars", F.length("text").cast("long").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity chain, fitted on the judged documents, does not reject."""
+    """Documents that the toxicity chain, fitted on the judged documents, does not reject; null and empty texts stay."""
     chain = toxicity.train(docs, toxicity.label_categories(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, chain, keep=COLUMNS[1:]).where(~F.col("toxic")).select(*COLUMNS)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    held = docs.select("doc_id", "text", *([F.struct(*others).alias("row")] if others else []))
+    scored = toxicity.score(held, chain, keep=tuple(held.columns[1:]))
+    return scored.where(~F.col("toxic")).select(*(F.col(f"row.{c}") if c in others else c for c in docs.columns))
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every component; documents without words are no group and stay."""
+    """The document of the smallest id of every component; documents without words or without an id are no group and stay.
+    Rows of one id share a fate: they stay if one of them leads its group."""
     groups = jaccard_join.jaccard_components(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    leaders = groups.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(leaders, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without sentences that an earlier document already has; texts left without words go."""
     cleaned = substring_dedup.clean(docs)
-    return _resized(cleaned.where((F.col("n_removed") == 0) | (F.trim("text") != "")))
+    return _resized(cleaned.where((F.col("n_removed") == 0) | (F.trim("text") != ""))).select(*docs.columns)
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with passages of two or more benchmark items go; a single item's passages are cut out of the text."""
-    return _resized(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")))
+    return _resized(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))).select(*docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
