@@ -217,7 +217,7 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", ranks_path: str | None
         table = [b""] * (max(load_ranks(path).values()) + 1)
         for token, rank in load_ranks(path).items():
             table[rank] = token
-        for batch in batches:
+        for batch in chunks(batches, tokens_col):
             texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(tokens_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
 

@@ -15,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_CHUNK = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, default: int = 64 << 20, size: int = 4 << 20) -> None:
+    """Arrow batches of 4 MB instead of 64 MB (a longer row is a batch of its own), unless the session has a size of its own."""
+    if spark.conf.get(BATCH_BYTES).rstrip("b") == str(default):
+        spark.conf.set(BATCH_BYTES, size)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import byte_bpe, decontamination, graph_search, html_extraction, jaccard_join, language_id, substring_dedup, token_counts, toxicity, url_reputation
+from annalist.llm.common import small_batches
 
 HELD_OUT_OF = 5
 QUERY_EVERY = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
