@@ -156,8 +156,25 @@ def _only_words(batches):
         yield batch.filter(pc.greater_equal(batch.column("part"), 0))
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None) -> DataFrame:
-    """(id_col long, tokens binary): the token ids of each text as little-endian unsigned 32-bit integers."""
+@functools.cache
+def token_bytes(path: str) -> list[bytes]:
+    """The token-byte table: the bytes of every id."""
+    table = [b""] * (max(load_ranks(path).values()) + 1)
+    for token, rank in load_ranks(path).items():
+        table[rank] = token
+    return table
+
+
+def _decoded(tokens: pa.Array, path: str) -> pa.Array:
+    table = token_bytes(path)
+    return pa.array([None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in tokens.to_pylist()], pa.binary())
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, decoded: bool = False) -> DataFrame:
+    """(id_col long, tokens binary): the token ids of each text as little-endian unsigned 32-bit integers.
+
+    With `decoded` also the bytes that `decode` gives for these ids, made in the task that puts the ids together.
+    """
     path = ranks_path or public_tokenizers.path(RANKS)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES
@@ -187,7 +204,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         head = [p for part, p in zip(left.column("part").to_pylist(), left.column("payload").to_pylist(), strict=True) if part < 0]
         if not head:
-            return pa.table({"id": pa.array([], pa.int64()), "tokens": pa.array([], pa.binary())})
+            return out_schema.empty_table()
         books = sorted(zip(right.column("part").to_pylist(), right.column("payload").to_pylist(), strict=True), key=lambda b: b[0])
         lens = np.concatenate([_unpack(b[0]) for _, b in books] or [np.zeros(0, np.uint32)]).astype(np.int64)
         flat = np.concatenate([_unpack(b[1]) for _, b in books] or [np.zeros(0, np.uint32)])
@@ -200,9 +217,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank
             n = lens[own]
             index = np.arange(int(n.sum())) + np.repeat(starts[own] - (np.cumsum(n) - n), n)
             out.append(flat[index].astype("<u4").tobytes())
-        return pa.table({"id": pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(known, np.uint8) == 0), "tokens": pa.array(out, pa.binary())})
+        columns = [pa.array(np.frombuffer(ids, np.int64), mask=np.frombuffer(known, np.uint8) == 0), pa.array(out, pa.binary())]
+        return pa.table([*columns, *([_decoded(columns[1], path)] if decoded else [])], schema=out_schema)
 
-    return blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(assemble, "id long, tokens binary").toDF(id_col, "tokens")
+    out_schema = pa.schema([("id", pa.int64()), ("tokens", pa.binary()), *([("decoded", pa.binary())] if decoded else [])])
+    made = blocks.groupBy("block").cogroup(codes.groupBy("block")).applyInArrow(assemble, "id long, tokens binary" + ", decoded binary" * decoded)
+    return made.withColumnRenamed("id", id_col)
 
 
 def decode(tokens: DataFrame, tokens_col: str = "tokens", ranks_path: str | None = None) -> DataFrame:
@@ -214,11 +234,7 @@ def decode(tokens: DataFrame, tokens_col: str = "tokens", ranks_path: str | None
     out = T.StructType([*tokens.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches):
-        table = [b""] * (max(load_ranks(path).values()) + 1)
-        for token, rank in load_ranks(path).items():
-            table[rank] = token
         for batch in chunks(batches, tokens_col):
-            texts = [None if x is None else b"".join(map(table.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in batch.column(tokens_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(batch.column(tokens_col), path)], names=[*batch.schema.names, "decoded"])
 
     return tokens.mapInArrow(tidy(run), out)

@@ -24,9 +24,9 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"))
+    tokens = byte_bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     n = (F.octet_length("tokens") / 4).cast("long")
-    return byte_bpe.decode(tokens).select("doc_id", n.alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return tokens.select("doc_id", n.alias("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def page_outcomes(labels: DataFrame) -> DataFrame:

@@ -128,7 +128,11 @@ def test_byte_bpe(spark, texts):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(public_tokenizers.path(byte_bpe.RANKS)), special_tokens={})
     got = {r.doc_id: (np.frombuffer(r.tokens, "<u4").tolist(), bytes(r.decoded).decode()) for r in byte_bpe.decode(byte_bpe.encode(spark.createDataFrame(texts, DOCS))).collect()}
     assert got == {i: (library.encode_ordinary(t or ""), t or "") for i, t in texts}
-    assert byte_bpe.encode(spark.createDataFrame([], DOCS)).count() == 0
+    odd = spark.createDataFrame([(None, "of a null id"), (7, "twice"), (7, "twice")], DOCS)
+    rows = byte_bpe.encode(odd, decoded=True).collect()
+    assert sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in rows) == [(0, "of a null id"), (7, "twice"), (7, "twice")]
+    assert sorted(r.doc_id is None for r in rows) == [False, False, True]
+    assert byte_bpe.encode(spark.createDataFrame([], DOCS), decoded=True).count() == 0
 
 
 def test_token_counts(spark, texts):
