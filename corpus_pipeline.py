@@ -44,8 +44,8 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, tokens) of every document: ids as little-endian unsigned 32-bit integers, checked by decoding."""
-    decoded = byte_bpe.decode(byte_bpe.encode(docs))
+    """(doc_id, n_tokens, tokens) of every document: ids as little-endian unsigned 32-bit integers, and the digest of their decoded bytes."""
+    decoded = byte_bpe.encode(docs, decoded=True)
     n = (F.octet_length("tokens") / 4).cast("long")
     return decoded.select("doc_id", n.alias("n_tokens"), "tokens", F.octet_length("decoded").cast("long").alias("n_bytes"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
