@@ -252,3 +252,40 @@ def test_nearest_neighbours(spark):
         hits += len({r.vec_id for r in mine} & set(best.tolist()))
         total += 10
     assert hits / total >= 0.9
+
+
+def recall(spark, x, k=20, kind="float"):
+    """Of the k best by brute force, the share that the search over several shards finds; scores are checked exactly."""
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"vec_id long, embedding array<{kind}>")
+    found: dict[int, list] = {}
+    for r in graph_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), k).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    hits = 0
+    for q, rows in found.items():
+        s = x.astype(float) @ x[q].astype(float)
+        assert [r for r, _, _ in sorted(rows)] == list(range(1, k + 1))
+        assert all(abs(score - s[v]) < 1e-9 for _, v, score in rows)
+        s[q] = -np.inf
+        hits += len({v for _, v, _ in rows} & set(np.lexsort((np.arange(len(s)), -s))[:k].tolist()))
+    return hits / (k * len(found))
+
+
+@pytest.mark.parametrize("kind", ["unit", "clusters", "gaussian", "norms"])
+def test_nearest_neighbours_recall_over_shards(spark, monkeypatch, kind):
+    monkeypatch.setattr(graph_search, "SHARD", 1000)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 32))
+    if kind == "clusters":
+        x = rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.3 * x
+    if kind in ("unit", "norms"):
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "norms":
+        x *= rng.lognormal(0, 1, size=(3000, 1))
+    assert recall(spark, x, kind="double") >= 0.9
+
+
+def test_nearest_neighbours_of_odd_tables(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [1.0, 2.0, 3.0]), (1, [0.5, 0.5]), (None, [1.0, 1.0]), (2, []), (3, [None, 1.0]), (4, [float("inf"), 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS shard", "2 AS q")
+    assert [tuple(r) for r in graph_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), 200).collect()] == [(0, 1, 1, 0.5)]
+    assert graph_search.nearest(vectors.limit(0), vectors.limit(0), 5).count() == 0
