@@ -19,7 +19,9 @@ How it runs at scale:
   5. Links join sets of one component only, so every set's number of links is counted inside its component: where keys are
      all rare, every link is verified already; the sets of a component that has hot keys meet each other once, in slices,
      and only the counts leave the task.
-Rows with a null id are ignored; repeated ids with equal text fold into one row per id and set.
+Ids are integers. Every row gives one row: repeated ones alike, and one of a null id with its n_shingles only (no component
+and no links, for itself or others). Null and empty texts have the empty set and are their own component. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -90,7 +92,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns of equal length as one compressed blob, byte plane by byte plane."""
-    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]
     return zstandard.compress(b"".join(planes), 1)
 
 
@@ -304,11 +306,11 @@ def _fits(percent: int):
 
 
 def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) of the distinct pairs whose whole sets link. maps: id, n, bits of the suffix filter; texts: id, text."""
+    """Those (a, b) of the distinct pairs whose whole sets link, as a written table. maps: id, n, bits of the suffix filter; texts: id, text."""
     left, right = (maps.select(F.col("id").alias(i), F.col("n").alias(n), F.col("bits").alias(x)) for i, n, x in (("a", "na", "xa"), ("b", "nb", "xb")))
     apart = " + ".join(f"bit_count(xa[{i}] ^ xb[{i}])" for i in range(BITMAP))
     near = pairs.join(left, "a").join(right, "b").where(f"{apart} <= na + nb - 2 * ceil({percent} * (na + nb) / {100 + percent})")
-    pairs = materialize(near.select("a", "b").distinct(), "near")
+    pairs = near_pairs = materialize(near.select("a", "b").distinct(), "near")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
 
     def sets(batches):
@@ -334,7 +336,9 @@ def verify(pairs: DataFrame, maps: DataFrame, texts: DataFrame, k: int, percent:
 
     left = items.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = items.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long")
+    out = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(check), "a long, b long"), "links")
+    discard(near_pairs, items)
+    return out
 
 
 def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -412,9 +416,10 @@ def count_links(members: DataFrame, texts: DataFrame, k: int, percent: int) -> D
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75) -> DataFrame:
     """(id_col, n_shingles, component_id, class_id, n_links): every row's set size, component, class of equal sets
     (its smallest id) and the number of other classes that the class links with; ids keep their type (integers)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = materialize(signatures(texts, k), "signatures")
-    least = base.where("n > 0").groupBy("c", "n").agg(F.min(F.struct("id", "bits")).alias("x"))
+    texts = texts.where("id IS NOT NULL")
+    least = base.where("n > 0 AND id IS NOT NULL").groupBy("c", "n").agg(F.min(F.struct("id", "bits")).alias("x"))
     sets = materialize(least.select("c", "n", F.col("x.id").alias("rep"), F.col("x.bits").alias("bits")), "classes")
     reps = sets.select("c", "n", "rep")
     maps = sets.select(F.col("rep").alias("id"), "n", "bits")
@@ -431,7 +436,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ordered = met.select(*(F.when(first, x).otherwise(y).alias(z) for x, y, z in ((F.col("n"), F.col("h.n"), "n"), (F.col("place"), F.col("h.place"), "place"), (F.col("h.n"), F.col("n"), "m"), (F.col("h.place"), F.col("place"), "at"))), F.least("id", "h.id").alias("a"), F.greatest("id", "h.id").alias("b"))
     star = ordered.where(_fits(percent)).select("a", "b").union(few).distinct()
     star = materialize(star, "stars")
-    links = materialize(verify(star, maps, texts, k, percent), "links")
+    links = verify(star, maps, texts, k, percent)
     groups = connected_components(links)
     # Round two: members of different components that share a key.
     named = found.join(groups, found.id == groups.node, "left").select("key", "id", "n", "place", F.coalesce("component", "id").alias("comp"))
@@ -453,17 +458,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     apart = " + ".join(f"bit_count(x{i} ^ y{i})" for i in range(FOLDED))
     near = f"{_fits(percent)} AND {apart} <= n + m - 2 * ceil({percent} * (n + m) / {100 + percent})"
     met = left.hint("shuffle_hash").join(right, meeting).where(f"cp <> cq AND (n < m OR n = m AND p < q) AND {near}")
-    cross = materialize(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "cross").join(star, ["a", "b"], "left_anti")
-    found_links = materialize(verify(cross, maps, texts, k, percent), "links")
+    crossed = materialize(met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct(), "cross")
+    cross = crossed.join(star, ["a", "b"], "left_anti")
+    found_links = verify(cross, maps, texts, k, percent)
     # Only the links of round two are new, so the second search runs over the components of the first.
     ends = [groups.select(F.col("node").alias(x), F.col("component").alias(f"{x}_comp")) for x in "ab"]
     named = found_links.join(ends[0], "a", "left").join(ends[1], "b", "left")
     merged = connected_components(named.select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b")))
-    links = links.union(found_links)
-    degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    every = links.union(found_links)
+    degree = every.select(F.col("a").alias("rep")).union(every.select("b")).groupBy("rep").agg(F.count("*").alias("n_links"))
     first = reps.join(groups, reps.rep == groups.node, "left").select("c", "n", "rep", F.coalesce("component", "rep").alias("one"))
-    merged = merged.toDF("one", "two")
-    classes = first.join(merged, "one", "left").join(degree, "rep", "left").select("c", "n", "rep", F.coalesce("two", "one").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classes = first.join(merged.toDF("one", "two"), "one", "left").join(degree, "rep", "left").select("c", "n", "rep", F.coalesce("two", "one").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     classes = materialize(classes, "classes")
     # Links that only hot keys show are verified between components and with hubs; inside a component they are counted.
     hot = classes.join(found.select(F.col("id").alias("rep")).distinct(), "rep", "left_semi").select("comp").distinct()
@@ -473,5 +478,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = materialize(count_links(members, texts, k, percent), "inside")
     # A smallest id that several sets share has all their links, as the verified ones have it.
     classes = classes.join(inside, "rep", "left").withColumn("n_links", F.coalesce("inside", "n_links"))
-    out = base.select("id", "n", "c").join(classes, ["c", "n"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    discard(sets, entries, found, star, links, groups, open_keys, rest, crossed, found_links, merged, members)
+    out = base.select("id", "n", "c").join(classes, (base.c == classes.c) & (base.n == classes.n) & base.id.isNotNull(), "left")
+    return out.select(base.id.alias(id_col), base.n.alias("n_shingles"), F.coalesce("comp", "id").alias("component_id"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -2,32 +2,37 @@
 
 For each language a suffix automaton of labelled text is built. A document is parsed greedily: every phrase is the
 longest match that the automaton gives from where the last phrase ended, plus the character that broke it. The count of
-phrases per character estimates the cross entropy with that language. Documents are parsed in lanes of LANE characters,
-thousands of lanes in lock step over numpy transition tables; a lane's end closes a phrase, equally for all languages.
-
-Texts are lower-cased; runs without letters become one space. Training takes whole texts of at most
+phrases estimates the cross entropy with that language. Thousands of lanes of LANE characters are parsed in lock step over
+numpy transition tables. A lane first begins at a phrase's begin; where the lane before it ends inside a phrase, it is parsed
+again from that state until a phrase ends where one of the first parse did. So phrases run across lanes, and the count is
+that of the whole text.
+
+An automaton knows every character of its language's sample; any other breaks a phrase. Tables are dense where states times
+characters are few, otherwise the transitions are searched for, with equal results.
+Texts are lower-cased; runs without letters (as str.isalpha has them) become one space. Training takes whole texts of at most
 `symbols` / 2 characters: per language the rows of smallest hash in each of `rows` hash slots, until `symbols` characters
-are reached (both are the documented bounds of the labelled sample).
+are reached (both are the documented bounds of the labelled sample; a language that has only longer texts is not learned).
 Null texts and texts without letters are `und` with score 0; ties go to the alphabetically first language; if no label
-can be learned every row is `und`.
+can be learned every row is `und`. Every row gives one row, repeated ones and ones of a null id too; other columns are
+dropped. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import chunks
+from annalist.llm.common import chunks, tidy
 
 ROWS = 200
 SYMBOLS = 24_000
-ALPHABET = 64
 LANE = 256
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+DENSE = 8 << 20  # entries of a dense transition table
+END = 0xFFFF
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def normalise(text: str | None) -> str:
@@ -36,12 +41,12 @@ def normalise(text: str | None) -> str:
 
 
 class Automaton:
-    """Suffix automaton over small integer symbols, as one dense transition table (state, symbol) -> state or 0.
+    """Suffix automaton over small integer symbols: `step` gives the state after (state, symbol), 0 if there is none.
 
-    State 1 is the root. Symbol 0 (a character outside the alphabet) never matches.
+    State 1 is the root. Symbol 0 (a character that the language's sample lacks) never matches.
     """
 
-    def __init__(self, codes: np.ndarray, alphabet: int = ALPHABET):
+    def __init__(self, codes: np.ndarray, dense: int = DENSE):
         step: list[dict[int, int]] = [{}, {}]
         link, length, last = [0, 0], [0, 0], 1
         for c in codes.tolist():
@@ -63,58 +68,103 @@ class Automaton:
                     p = link[p]
                 link[q] = link[cur] = clone
             last = cur
-        self.table = np.zeros((len(step), alphabet), np.uint16 if len(step) < 65536 else np.int32)
-        for s, out in enumerate(step):
-            for c, t in out.items():
-                self.table[s, c] = t
-        self.table[:, 0] = 0
+        self.width = int(codes.max(initial=0)) + 1
+        keys = np.array([s * self.width + c for s, out in enumerate(step) for c in out], np.int64)
+        made = np.array([t for out in step for t in out.values()], np.int32)
+        if len(step) * self.width <= dense:
+            self.table = np.zeros(len(step) * self.width, np.uint16 if len(step) < 65536 else np.int32)
+            self.table[keys] = made
+        else:
+            self.table = None
+            order = np.argsort(keys)
+            self.keys, self.made = keys[order], made[order]
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + symbol
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.made[at], 0)
 
 
 class Profiles:
-    def __init__(self, texts: dict[str, str]):
+    def __init__(self, texts: dict[str, str], dense: int = DENSE):
         self.langs = sorted(texts)
-        points, counts = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), np.uint32), return_counts=True)
-        kept = np.sort(points[np.argsort(-counts, kind="stable")][: ALPHABET - 1])
-        self.points = kept
-        self.automata = [Automaton(self.encode(texts[lang])) for lang in self.langs]
+        self.points = np.unique(np.frombuffer("".join(texts.values()).encode("utf-32-le"), np.uint32))[: END - 2]
+        self.automata, self.maps = [], []
+        for lang in self.langs:
+            codes = self.encode(texts[lang])
+            own = np.unique(codes[codes > 0])
+            local = np.zeros(len(self.points) + 2, np.uint16)
+            local[own] = np.arange(1, len(own) + 1)
+            self.maps.append(local)
+            self.automata.append(Automaton(local[codes], dense))
 
     def encode(self, text: str) -> np.ndarray:
         raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         at = np.minimum(np.searchsorted(self.points, raw), len(self.points) - 1)
-        return np.where(self.points[at] == raw, at + 1, 0).astype(np.uint8)
+        return np.where(self.points[at] == raw, at + 1, 0).astype(np.uint16)
 
     def phrases(self, texts: list[str]) -> np.ndarray:
         """Phrases of every text by every language's automaton."""
         coded = [self.encode(t) for t in texts]
-        lanes = [-(-len(c) // LANE) for c in coded]
-        grid = np.full((sum(lanes), LANE), 255, np.uint8)
+        lanes = np.array([-(-len(c) // LANE) for c in coded])
+        grid = np.zeros((int(lanes.sum()), LANE), np.uint16)
         row = 0
-        for c, n in zip(coded, lanes, strict=True):
+        for c, n in zip(coded, lanes.tolist(), strict=True):
             grid[row : row + n].reshape(-1)[: len(c)] = c
             row += n
-        size = (grid != 255).sum(1)
+        last = np.cumsum(lanes) - 1  # lane that ends each text
+        size = np.full(len(grid), LANE)
+        size[last] = [len(c) - LANE * (n - 1) for c, n in zip(coded, lanes.tolist(), strict=True)]
+        owner = np.repeat(np.arange(len(texts)), lanes)
+        follows = np.append(False, owner[1:] == owner[:-1])
         order = np.argsort(-size, kind="stable")
-        columns = np.ascontiguousarray(grid[order].T)
         live = np.searchsorted(-size[order], -np.arange(LANE), "left")
-        owner = np.repeat(np.arange(len(texts)), lanes)[order]
         out = np.zeros((len(texts), len(self.langs)), np.int64)
         for k, automaton in enumerate(self.automata):
-            table, width = automaton.table.ravel(), automaton.table.shape[1]
+            columns = np.ascontiguousarray(self.maps[k][grid][order].T)
             state = np.ones(len(order), np.int32)
-            count = np.zeros(len(order), np.int32)
+            breaks = np.zeros((LANE, len(order)), bool)
             for j in range(LANE):
                 n = live[j]
                 if not n:
                     break
-                c = columns[j, :n]
-                nxt = table[state[:n] * width + c]
-                broke = nxt == 0
-                count[:n] += broke
-                state[:n] = np.where(broke, 1, nxt)
-            count += state != 1  # the phrase that the lane's end closes
+                nxt = automaton.step(state[:n], columns[j, :n])
+                breaks[j, :n] = nxt == 0
+                state[:n] = np.where(nxt == 0, 1, nxt)
+            end, found = np.empty_like(state), np.empty((len(order), LANE), bool)
+            end[order], found[order] = state, breaks.T
+            self._join(automaton, self.maps[k], grid, size, follows, end, found)
+            count = found.sum(1)
+            count[last] += end[last] != 1  # the phrase that the text's end closes
             out[:, k] = np.bincount(owner, count, len(texts))
         return out
 
+    @staticmethod
+    def _join(automaton: Automaton, local: np.ndarray, grid: np.ndarray, size: np.ndarray, follows: np.ndarray, end: np.ndarray, found: np.ndarray) -> None:
+        """Parse lanes again from the state in which the lane before ends, until nothing moves; end and found are updated."""
+        begun = np.ones(len(end), np.int32)
+        while True:
+            before = np.append(1, end[:-1])
+            again = np.flatnonzero(follows & (before != begun))
+            if not len(again):
+                return
+            begun[again] = before[again]
+            state, at = begun[again].copy(), again
+            for j in range(LANE):
+                nxt = automaton.step(state, local[grid[at, j]])
+                broke = nxt == 0
+                met = broke & found[at, j]  # from here on both parses are the same
+                found[at, j] = broke
+                state = np.where(broke, 1, nxt)
+                over = (size[at] == j + 1) & ~met
+                end[at[over]] = state[over]
+                on = ~met & ~over
+                at, state = at[on], state[on]
+                if not len(at):
+                    break
+
 
 def train(labelled: DataFrame, rows: int = ROWS, symbols: int = SYMBOLS) -> Profiles | None:
     """Profiles from (text, lang): whole texts of the bounded sample described above. The labels' number is small."""
@@ -151,4 +201,4 @@ def identify(docs: DataFrame, profiles: Profiles | None, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tidy(run), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -8,8 +8,9 @@ WITH p AS (
   FROM pages),
 o AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 WHEN quality IS NOT NULL AND toxic IS NOT NULL THEN 0 END) AS bad FROM labels GROUP BY doc_id),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain,
-    list_extract(string_split(host, '.'), -1) AS suffix
+    len(string_split(host, '.')) > 2 AND regexp_matches(host, '[.](ac|co|com|edu|gov|net|org)[.]..$') AS double_suffix,
+    array_to_string(list_slice(string_split(host, '.'), CASE WHEN double_suffix THEN -3 ELSE -2 END, -1), '.') AS domain,
+    array_to_string(list_slice(string_split(host, '.'), CASE WHEN double_suffix THEN -2 ELSE -1 END, -1), '.') AS suffix
   FROM p LEFT JOIN o ON p.page_id = o.doc_id GROUP BY host),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY suffix),
@@ -21,7 +22,7 @@ g AS (SELECT level, p, least(greatest(CASE WHEN spread > 0 THEN p * (1 - p) / sp
 s1 AS (SELECT suffix, (k + strength * p) / (n + strength) AS m1 FROM s, g WHERE level = 1),
 d1 AS (SELECT domain, (k + strength * m1) / (n + strength) AS m2 FROM d JOIN s1 USING (suffix), g WHERE level = 2),
 h1 AS (SELECT host, k + strength * m2 AS a, n - k + strength * (1 - m2) AS b FROM h JOIN d1 USING (domain), g WHERE level = 3),
-r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5 AS blocked FROM h1),
+r AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > least(0.5, 1.5 * (SELECT sum(k)::DOUBLE / sum(n) FROM s)) AS blocked FROM h1),
 rules(kind, own, start) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
 f AS (SELECT page_id, arg_max(own || start, length(own || start)) AS rule, arg_max(kind, length(own || start)) AS kind
   FROM (SELECT DISTINCT page_id, host, path FROM p) x, rules

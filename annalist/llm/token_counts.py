@@ -6,7 +6,8 @@ counted: a known piece is one token, a symbol without a piece one token per UTF-
 
 Pre-tokens are exact cuts: no piece has a space mark after another character, and two neighbouring characters that stand
 side by side in no piece never merge. A sequence longer than LONG symbols goes through a heap instead, with equal results.
-Null and empty texts have 0 tokens.
+Null and empty texts have 0 tokens. Every row gives one row, repeated ones and ones of a null id too; other columns are
+dropped. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annalist.llm.common import chunks
+from annalist.llm.common import chunks, tidy
 
 MODEL = "piece_bpe_32k.model"
 LONG = 256
@@ -152,5 +153,5 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_bytes"), pa.array(model.count(batch.column("text").to_pylist()), pa.int64())], names=["id", "n_bytes", "n_tokens"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = texts.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(run, "id long, n_bytes long, n_tokens long")
+    out = texts.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(tidy(run), "id long, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -1,10 +1,14 @@
 """URL filters: rules first, else an empirical-Bayes reputation of the host.
 
-Labelled outcomes of pages (bad or not) are counted per host, registered domain (last two labels) and suffix (last
-label). Each level's rates are shrunk towards the level above through a beta prior whose mean is the parent's posterior
-mean and whose strength comes from the spread of the level's rates (method of moments, between MIN_STRENGTH and
-MAX_STRENGTH). A host is blocked when the lower posterior bound of its bad rate (mean - Z deviations) exceeds LIMIT.
-A host without outcomes has its domain's expectation. Null urls and urls without `://` have empty host and path.
+Labelled outcomes of pages (bad or not) are counted per host, registered domain and suffix. The suffix is the last label, or
+the last two where a two-letter label follows one of SECOND ("co.uk"); the registered domain is one label more. Each
+level's rates are shrunk towards the level above through a beta prior whose mean is the parent's posterior mean and whose
+strength comes from the spread of the level's rates (method of moments, between MIN_STRENGTH and MAX_STRENGTH). A host is
+blocked when the lower posterior bound of its bad rate (mean - Z deviations) exceeds LIFT times the rate of all outcomes,
+or LIMIT if that is less. A host without outcomes has its domain's expectation.
+Null urls and urls without `://` have empty host and path. Every page gives one row, repeated ones and ones of a null id too;
+repeated pages count as often as they come, a page of a null id has no outcome. With no outcomes at all nothing but the
+rules blocks; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annalist.llm.common import materialize
+
 # Fixed rules: (verdict, host, path).
 RULES = (
     ("allow", "com", "/"),
@@ -23,7 +29,9 @@ RULES = (
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 1000.0
 Z = 1.645
 LIMIT = 0.5
-SALTS = 16
+LIFT = 1.5
+SALTS = 64
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "org")
 
 
 def lower_ascii(c: Column) -> Column:
@@ -58,10 +66,20 @@ def _strength(level: DataFrame) -> tuple[float, float]:
     return p, min(max(strength, MIN_STRENGTH), MAX_STRENGTH)
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) -> DataFrame:
+def domain_of(host: Column) -> tuple[Column, Column]:
+    """(registered domain, suffix) of a host."""
+    labels = F.split(host, r"\.")
+    double = (F.size(labels) > 2) & (F.length(F.element_at(labels, -1)) == 2) & F.get(labels, F.size(labels) - 2).isin(*SECOND)
+    pick = lambda n: F.when(double, F.substring_index(host, ".", -n - 1)).otherwise(F.substring_index(host, ".", -n))
+    return pick(2), pick(1)
+
+
+def host_reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT, lift: float = LIFT) -> DataFrame:
     """(host, n, k, mean, lower, blocked) from outcomes (host, bad: 1, 0 or null where nothing is known)."""
     hosts = outcomes.where("host IS NOT NULL").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
-    hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
+    domain, suffix = domain_of(F.col("host"))
+    # Counts of hosts are written once; five plans read them.
+    hosts = materialize(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     top, s1 = _strength(suffixes)
@@ -73,7 +91,7 @@ def host_reputation(outcomes: DataFrame, z: float = Z, limit: float = LIMIT) ->
     a, b = F.col("a"), F.col("b")
     mean = a / (a + b)
     lower = mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
-    return out.select("host", "n", "k", mean.alias("mean"), lower.alias("lower"), (lower > limit).alias("blocked"))
+    return out.select("host", "n", "k", mean.alias("mean"), lower.alias("lower"), (lower > min(limit, lift * top)).alias("blocked"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
