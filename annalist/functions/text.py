@@ -63,13 +63,14 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 def fuzzy_labels(labels: DataFrame, mention: str, column: str = "label", threshold: float = FUZZY) -> DataFrame:
     """The distinct labels in which every word of the mention has a word of similarity `threshold` or more.
 
-    Each distinct word is scored once; words of less than half or more than twice the length cannot reach 0.9 and are
-    left out before Python sees them.
+    Each distinct word is scored once. A similarity of t needs a Jaro value of (t - 0.4) / 0.6, which is (2 + r) / 3 at most
+    where r is the ratio of the lengths; so words of a ratio under 5 t - 4 are left out before Python sees them.
     """
     wanted = mention.split(" ")
     split = labels.select(column).distinct().where(F.col(column).isNotNull())
     pairs = split.select(column, F.explode(F.array_distinct(F.split(column, " "))).alias("word"))
     scored = pairs.select("word").distinct().select("word", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in enumerate(wanted)))).alias("q")).select("word", "q.*")
     n, m = F.octet_length("word"), F.octet_length("w")
-    hits = scored.where((F.least(n, m) * 2 >= F.greatest(n, m)) & (jaro_winkler_udf("w", "word") >= threshold)).select("word", "i")
+    ratio = max(5 * threshold - 4, 0.0) - 1e-9
+    hits = scored.where((F.least(n, m) >= F.greatest(n, m) * ratio) & (jaro_winkler_udf("w", "word") >= threshold)).select("word", "i")
     return pairs.join(hits, "word").groupBy(column).agg(F.countDistinct("i").alias("k")).where(F.col("k") == len(wanted)).select(column)

@@ -2,39 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.constants import AREA_SEEDS, CLASS_SEEDS, EXCLUDED_CLASSES, EXCLUDED_OCCUPATIONS, OCCUPATION, SUBCLASS
-
-
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, so that a round does not carry the plans of the rounds before."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = tempfile.mkdtemp(prefix="annalist-")
-        spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top}/closure-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from annalist.scratch import written
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(qid, root): every descendant-or-self of every root. edges: (child, parent), cycles allowed; seeds: (qid, root)."""
-    seen = _written(seeds.select("qid", "root").distinct())
+    seen = written(seeds.select("qid", "root").distinct())
     frontier = seen
     links = edges.select("child", F.col("parent").alias("qid")).distinct()
     while True:
         step = frontier.join(links, "qid").select(F.col("child").alias("qid"), "root").distinct()
-        frontier = _written(step.join(seen, ["qid", "root"], "left_anti"))
+        frontier = written(step.join(seen, ["qid", "root"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = _written(seen.unionByName(frontier))
+        seen = written(seen.unionByName(frontier))
 
 
 def seed_rows(seeds: DataFrame, instances: DataFrame) -> DataFrame:
@@ -65,6 +52,19 @@ def class_vocabulary(edges: DataFrame, instances: DataFrame, labels: DataFrame,
     return out
 
 
+def coverage(classes: DataFrame, occupations: DataFrame, in_dump: DataFrame) -> DataFrame:
+    """One row: sizes of the class selection and of the occupation vocabulary, and how many selected classes (qid) a dump has."""
+    met = classes.join(in_dump.select("qid").distinct(), "qid", "left_semi")
+    return classes.agg(F.count("*").alias("classes")).crossJoin(met.agg(F.count("*").alias("in_dump"))).crossJoin(occupations.agg(F.count("*").alias("occupations")))
+
+
+def seed_report(edges: DataFrame, instances: DataFrame, seeds: Iterable[tuple] = CLASS_SEEDS) -> DataFrame:
+    """(seed, domain, mode, classes): how many classes each seed reaches, itself included."""
+    table = edges.sparkSession.createDataFrame(list(seeds), "qid string, domain string, mode string")
+    reached = closure(edges, seed_rows(table, instances)).groupBy(F.col("root").alias("qid")).agg(F.count("*").alias("classes"))
+    return table.join(reached, "qid", "left").select(F.col("qid").alias("seed"), "domain", "mode", F.coalesce("classes", F.lit(0)).alias("classes"))
+
+
 def by_number(df: DataFrame, column: str = "qid") -> DataFrame:
     """In the order of the ids' numbers."""
     return df.orderBy(F.substring(F.col(column), 2, 30).try_cast("long").asc_nulls_last(), column)

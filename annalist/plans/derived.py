@@ -14,7 +14,7 @@ VIEWS = {
 select 'QN'||cast(n_nationkey as string) qid, n_name label, 'nation' description, cast(null as string) label_ru, cast(null as string) description_ru from nation
 union all select 'QC'||cast(c_custkey as string), c_name, c_mktsegment, null, null from customer
 union all select 'QS'||cast(s_suppkey as string), s_name, 'supplier', null, null from supplier
-union all select 'QP'||cast(p_partkey as string), p_name, p_brand, null, null from part
+union all select 'QP'||cast(p_partkey as string), case when p_partkey % 5 > 0 then p_name end, p_brand, case when p_partkey % 5 < 2 then p_name end, null from part
 union all select 'QO'||cast(o_orderkey as string), 'Order No. '||cast(o_orderkey as string), o_orderpriority, null, null from orders
 union all select distinct 'QM_'||c_mktsegment, lower(c_mktsegment), 'occupation', cast(null as string), cast(null as string) from customer
 union all select distinct 'QT_'||p_type, lower(p_type), 'genre', cast(null as string), cast(null as string) from part""",

@@ -151,11 +151,11 @@ def answer(model: Model, intent: dict, limit: int | None = 200, strict: bool = F
         return Answer(compare(model, filters["compare_entities"]), [])
     if field not in (None, "time", "location"):
         raise Unsupported(f"answer_field {field!r}")
-    if not any(filters.values()):
-        raise Unsupported("no filter")
     compiler = Compiler(model, target, strict)
     keys = compiler.keys(filters)
-    rows = model.items.select("qid", "label")
+    if not keys:  # no filter, or none that constrains the answer
+        raise Unsupported("no filter that can be applied")
+    rows = model.items.select("qid", F.coalesce("label", "label_ru").alias(target))
     for k in keys:
         rows = rows.join(k.distinct(), "qid", "left_semi")
     if strict and target != "person":
@@ -164,13 +164,13 @@ def answer(model: Model, intent: dict, limit: int | None = 200, strict: bool = F
     by_sites = [F.desc_nulls_last("sitelinks"), F.asc("qid")]
     if field == "location":
         places = model.labelled(*ANSWER_PLACES[target]).groupBy("qid").agg(joined(F.col("vlabel")).alias("location"))
-        rows, order, shown = rows.join(places, "qid", "left"), by_sites, ["label", "location", "sitelinks"]
+        rows, order, shown = rows.join(places, "qid", "left"), by_sites, [target, "location", "sitelinks"]
     elif target == "person":
-        rows = rows.join(model.lifespan, "qid", "left").withColumnRenamed("label", "person")
+        rows = rows.join(model.lifespan, "qid", "left")
         order, shown = [F.asc_nulls_last("born"), *by_sites], ["person", "born", "died", "sitelinks"]
     else:
         rows = rows.join(_years(model, filters), "qid", "left")
-        order, shown = [F.asc_nulls_last("year"), *by_sites], ["label", "year", "sitelinks"]
+        order, shown = [F.asc_nulls_last("year"), *by_sites], [target, "year", "sitelinks"]
     if filters.get("name"):
         order = by_sites
     rows = rows.orderBy(*order)
@@ -179,15 +179,15 @@ def answer(model: Model, intent: dict, limit: int | None = 200, strict: bool = F
 
 def _facts(model: Model, mention: str, n: int) -> DataFrame:
     """One row about the best-known person of that name (none if there is none), columns ending in n."""
-    people = model.items.select("qid", "label").join(model.of_domain("person"), "qid", "left_semi")
+    people = model.items.select("qid", F.coalesce("label", "label_ru").alias("label")).join(model.of_domain("person"), "qid", "left_semi")
     near = fuzzy_labels(people, mention).select(F.col("label").alias("near"))
     named = people.join(near, people.label == near.near, "left").where(word_match(F.col("label"), mention) | F.col("near").isNotNull()).select("qid", "label")
     lives = model.lifespan.where("born IS NOT NULL")
     best = named.join(lives, "qid").join(model.best_sites, "qid", "left").orderBy(F.desc_nulls_last("sitelinks"), "qid").limit(1)
     works = model.attributes.where(F.col("property").isin(*CREATOR_PROPERTIES)).join(best.select(F.col("qid").alias("value")), "value", "left_semi").groupBy(F.col("value").alias("qid")).agg(F.countDistinct("qid").alias("works"))
-    countries = model.labelled(CITIZENSHIP).join(best.select("qid"), "qid", "left_semi").groupBy("qid").agg(F.array_sort(F.collect_set("vlabel")).alias("countries"))
+    countries = model.labelled(CITIZENSHIP).join(best.select("qid"), "qid", "left_semi").groupBy("qid").agg(joined(F.col("vlabel")).alias("country"))
     out = best.join(works, "qid", "left").join(countries, "qid", "left")
-    return out.select(F.col("label").alias(f"entity_{n}"), F.col("born").alias(f"born_{n}"), F.col("died").alias(f"died_{n}"), F.coalesce("works", F.lit(0).cast("long")).alias(f"works_{n}"), F.col("countries").alias(f"countries_{n}"))
+    return out.select(F.col("label").alias(f"entity_{n}"), F.col("born").alias(f"born_{n}"), F.col("died").alias(f"died_{n}"), F.coalesce("works", F.lit(0).cast("long")).alias(f"works_{n}"), F.col("country").alias(f"country_{n}"))
 
 
 def compare(model: Model, request: dict) -> DataFrame:
@@ -198,18 +198,19 @@ def compare(model: Model, request: dict) -> DataFrame:
     both = _facts(model, entities[0], 1).crossJoin(F.broadcast(_facts(model, entities[1], 2)))  # one row each, by their limits
     b1, d1, b2, d2 = (F.col(c) for c in ("born_1", "died_1", "born_2", "died_2"))
     sane = (d1 - b1).between(0, LONGEST_LIFE) & (d2 - b2).between(0, LONGEST_LIFE)
-    sizes: dict[str, Any] = {"greater": operator.gt, "more": operator.gt, "older": operator.gt, "longer": operator.gt, "less": operator.lt, "fewer": operator.lt, "younger": operator.lt, "shorter": operator.lt, "equal": operator.eq, "same": operator.eq}
+    sizes: dict[str, Any] = {"more": operator.gt, "fewer": operator.lt, "equal": operator.eq}
+    met = F.arrays_overlap(F.split("country_1", ", "), F.split("country_2", ", "))
     life = ["born_1", "died_1", "born_2", "died_2"]
     rules: dict[str, tuple[dict[str, Column], list[str]]] = {
         "time": ({"overlap": (b1 <= d2) & (d1 >= b2), "before": d1 <= b2, "after": b1 >= d2}, life),
-        "age": ({k: f(d1 - b1, d2 - b2) for k, f in sizes.items()}, life),
+        "age": ({k: f(d1 - b1, d2 - b2) for k, f in sizes.items()}, ["age_1", "age_2"]),
         "work_count": ({k: f(F.col("works_1"), F.col("works_2")) for k, f in sizes.items()}, ["works_1", "works_2"]),
-        "location": ({"same": F.arrays_overlap("countries_1", "countries_2"), "different": ~F.arrays_overlap("countries_1", "countries_2")}, ["countries_1", "countries_2"]),
+        "location": ({"same": met, "different": ~met}, ["country_1", "country_2"]),
     }
     if aspect not in rules or relation not in rules[aspect][0]:
         raise Unsupported(f"comparison {aspect!r} {relation!r}")
     found = rules[aspect][0][relation]
     if aspect in ("time", "age"):
         found = F.when(sane, found)
-    shown = [F.array_join(c, ", ").alias(c) if aspect == "location" else F.col(c) for c in rules[aspect][1]]
-    return both.select("entity_1", "entity_2", *shown, found.alias("answer"))
+    both = both.withColumns({"age_1": d1 - b1, "age_2": d2 - b2})
+    return both.select("entity_1", "entity_2", *rules[aspect][1], found.alias("answer"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import json
 from pathlib import Path
 
@@ -18,11 +19,16 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in df.columns if c not in keys]), order).alias("__v")).select(*keys, "__v.*")
 
 
-def first_wins(df: DataFrame, keys: list[str], path: str) -> DataFrame:
-    """Rows whose key the Parquet table at path does not have yet, one per key."""
-    fresh = df.dropDuplicates(keys)
-    if exists(df.sparkSession, path):
-        fresh = fresh.join(df.sparkSession.read.parquet(path).select(*keys), keys, "left_anti")
+def first_wins(df: DataFrame, keys: list[str], path: str, order: str | None = None, but: str | None = None) -> DataFrame:
+    """Rows whose key the Parquet table at path does not have yet; per key the row of the smallest `order` (without one, the
+    least row). Rows of the table that meet the condition `but` do not count."""
+    others = [c for c in df.columns if c not in keys]
+    row = F.struct(*others)
+    first = F.min(row) if order is None else F.min_by(row, order)
+    fresh = df.groupBy(*keys).agg(first.alias("__v")).select(*keys, "__v.*").select(*df.columns) if others else df.distinct()
+    if exists(df.sparkSession, f"{path}/*"):
+        there = df.sparkSession.read.parquet(path)
+        fresh = fresh.join((there if but is None else there.where(f"NOT ({but})")).select(*keys), keys, "left_anti")
     return fresh
 
 
@@ -56,8 +62,10 @@ def discard(df: DataFrame) -> None:
 
 
 def log_training_example(path: str, prompt: str, completion: str, **details) -> dict:
-    """Append one example as a JSON line; human_correct stays open."""
-    record = {"prompt": prompt, "completion": completion, "human_correct": None, **details}
+    """Append one example as a JSON line: when, which model, what it was asked and said, the plan that ran and the one that the
+    compiler made (gold), and how the run went; human_correct stays open."""
+    fields = ("model", "sql", "sql_source", "gold_sql", "db_status", "db_error", "row_count")
+    record = {"timestamp": datetime.datetime.now(datetime.UTC).isoformat(), "prompt": prompt, "completion": completion, "human_correct": None, **dict.fromkeys(fields), **details}
     with Path(path).open("a", encoding="utf-8") as out:
         out.write(json.dumps(record, ensure_ascii=False) + "\n")
     return record

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annalist.constants import ATTRIBUTE_PROPERTIES, CLASS_WHITELIST, DATE_PROPERTIES, QUALIFIER_PROPERTIES
 from annalist.functions.time import parse_time
+from annalist.scratch import written
 
 SNAK = "struct<property:string,datavalue:struct<type:string,value:string>>"
 ENTITY = f"""id string, labels map<string,struct<value:string>>, descriptions map<string,struct<value:string>>,
@@ -58,9 +59,10 @@ def extract(entities: DataFrame, dates: Iterable[str] = DATE_PROPERTIES, classes
 
     An entity is kept if it has a listed class and a dated statement. Repeated documents: the smallest struct of an id is
     its item. Of equal (item, property, time) the last statement wins; the first listed class is the event's class.
-    classes is a list, or a DataFrame (id) that is joined whatever its size.
+    classes is a list, or a DataFrame (id) that is joined whatever its size. Statements and heads are written once to the
+    shared folder, so that the documents are parsed twice however many outputs are used.
     """
-    found = statements(entities, [*dates, *attributes, "P31"])
+    found = written(statements(entities, [*dates, *attributes, "P31"]), "statements")
     kinds = found.where("property = 'P31' AND value.type = 'wikibase-entityid'").select("qid", "pos", F.col("value.value").alias("class"))
     if isinstance(classes, DataFrame):
         kinds = kinds.join(classes.select(F.col("id").alias("class")).distinct(), "class", "left_semi")
@@ -76,8 +78,11 @@ def extract(entities: DataFrame, dates: Iterable[str] = DATE_PROPERTIES, classes
     label = lambda c, lang: F.col(c)[lang]["value"]
     extra = label("labels", lng)
     has = F.coalesce(extra, F.lit("")) != ""
-    heads = entities.groupBy(F.col("id").alias("qid")).agg(F.min(F.struct(F.coalesce(label("labels", "en"), F.lit("")).alias("label"), F.coalesce(label("descriptions", "en"), F.lit("")).alias("description"), F.when(has, extra).alias("label_ru"), F.when(has, label("descriptions", lng)).alias("description_ru"))).alias("v")).select("qid", "v.*")
-    links = entities.where("sitelinks IS NOT NULL").groupBy(F.col("id").alias("qid")).agg(F.max(F.struct(F.size("sitelinks").alias("sitelinks"), F.col("sitelinks")["enwiki"]["title"].alias("enwiki"), F.col("sitelinks")[f"{lng}wiki"]["title"].alias("ruwiki"))).alias("v")).select("qid", "v.*")
+    head = F.struct(F.coalesce(label("labels", "en"), F.lit("")).alias("label"), F.coalesce(label("descriptions", "en"), F.lit("")).alias("description"), F.when(has, extra).alias("label_ru"), F.when(has, label("descriptions", lng)).alias("description_ru"))
+    link = F.struct(F.size("sitelinks").alias("sitelinks"), F.col("sitelinks")["enwiki"]["title"].alias("enwiki"), F.col("sitelinks")[f"{lng}wiki"]["title"].alias("ruwiki"))
+    core = written(entities.select(F.col("id").alias("qid"), head.alias("head"), F.when(F.col("sitelinks").isNotNull(), link).alias("link")), "heads")
+    heads = core.groupBy("qid").agg(F.min("head").alias("v")).select("qid", "v.*")
+    links = core.where("link IS NOT NULL").groupBy("qid").agg(F.max("link").alias("v")).select("qid", "v.*")
     values = found.where(F.col("property").isin(*attributes) & (F.col("value.type") == "wikibase-entityid")).select("qid", "property", F.col("value.value").alias("value"))
     keep = lambda df: df.join(kept, "qid", "left_semi")
     return {

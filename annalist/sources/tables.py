@@ -28,9 +28,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place))
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Semicolon-separated rows: quotes are doubled inside quotes, short rows end in nulls, # starts a comment line."""
-    return spark.read.csv(path, sep=";", quote='"', escape='"', comment="#", schema=schema, mode="PERMISSIVE", multiLine=True)
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """Semicolon-separated rows: quotes are doubled inside quotes, short rows end in nulls, # starts a comment line.
+
+    Files are split among tasks; with multi_line, which line ends inside quotes need, a file is read by one task.
+    """
+    return spark.read.csv(path, sep=";", quote='"', escape='"', comment="#", schema=schema, mode="PERMISSIVE", multiLine=multi_line)
 
 
 def parse_csv_line(line: str) -> list[str]:
@@ -40,11 +43,11 @@ def parse_csv_line(line: str) -> list[str]:
     return next(csv.reader([line], delimiter=";"), [])
 
 
-def load_table(spark: SparkSession, name: str, path: str | None) -> DataFrame:
+def load_table(spark: SparkSession, name: str, path: str | None, multi_line: bool = False) -> DataFrame:
     """A model table from its file; a missing file gives an empty table."""
     if path is None or not exists(spark, path):
         return spark.createDataFrame([], SCHEMAS[name])
-    raw = read_csv(spark, path, FILES[name])
+    raw = read_csv(spark, path, FILES[name], multi_line)
     if name == "events":
         zone, qual = F.col("timezone").try_cast("int"), lambda c: F.nullif(F.col(c), F.lit("0"))
         time = parse_time(F.col("time_raw"))
@@ -88,6 +91,14 @@ def read_selection(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(~F.col("value").startswith("#")).select(first.alias("id")).where("id <> ''").distinct()
 
 
+def selection(spark: SparkSession, path: str, default: Iterable[str]) -> tuple[DataFrame, int]:
+    """(ids, their number) of the list at path, which replaces the default; the default and -1 if there is no such file."""
+    if not exists(spark, path):
+        return spark.createDataFrame([(x,) for x in default], "id string"), -1
+    ids = read_selection(spark, path)
+    return ids, ids.count()
+
+
 def read_class_labels(spark: SparkSession, path: str) -> DataFrame:
     """(qid, label, description) of rows with three fields or more; the second field is skipped."""
     raw = read_csv(spark, path, "qid string, skipped string, label string, description string").where("label IS NOT NULL")

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from annalist import cli, sinks
 from annalist.functions.text import fuzzy_labels, jaro_winkler, title_match, word_match
 from annalist.functions.time import century_bucket, century_floor, parse_time
 from annalist.model import SCHEMAS, Model, empty_model, load, save
@@ -100,10 +101,62 @@ def test_empty_model_answers_nothing(spark, tmp_path):
 
 def test_unsupported_intents(spark):
     model = empty_model(spark)
-    for bad in ("x", {"target_type": "thing"}, {"target_type": "work", "filters": {}}, {"target_type": "event", "filters": {"related_entity": {"relation": "creates", "entity_mention": "x"}}}, {"target_type": "person", "filters": {"compare_entities": {"entities": ["a"]}}}):
+    for bad in ("x", {"target_type": "thing"}, {"target_type": "work", "filters": {"domain": "cooking"}}, {"target_type": "person", "filters": {"compare_entities": {"entities": ["a", "b"], "aspect": "age", "relation": "older"}}}, {"target_type": "work", "filters": {}}, {"target_type": "event", "filters": {"related_entity": {"relation": "creates", "entity_mention": "x"}}}, {"target_type": "person", "filters": {"compare_entities": {"entities": ["a"]}}}):
         with pytest.raises(Unsupported):
             answer(model, bad)
-    assert answer(model, {"target_type": "work", "filters": {"domain": "cooking"}}).dropped == ["domain=cooking"]
+    assert answer(model, {"target_type": "work", "filters": {"domain": "cooking", "name": "x"}}).dropped == ["domain=cooking"]
+    assert answer(model, {"target_type": "person", "filters": {"domain": "cooking"}}).dropped == ["domain=cooking"]
+
+
+def items_of(spark, rows):
+    return spark.createDataFrame([(q, en, None, ru, None) for q, en, ru in rows], SCHEMAS["items"])
+
+
+def test_labels_fall_back_to_the_other_language(spark):
+    lives = [(q, "P569", None, None, 1700 + i, None, None, False, None, None, None) for i, q in enumerate(("Q1", "Q2"))] + [(q, "P570", None, None, 1750 + 2 * i, None, None, False, None, None, None) for i, q in enumerate(("Q1", "Q2"))]
+    model = replace(empty_model(spark), items=items_of(spark, [("Q1", None, "Ivan Petrov"), ("Q2", "Jon Smith", "x")]), events=spark.createDataFrame(lives, SCHEMAS["events"]), item_classes=spark.createDataFrame([("Q1", "K"), ("Q2", "K")], SCHEMAS["item_classes"]), classes=spark.createDataFrame([("K", "k", None, "person")], SCHEMAS["classes"]))
+    asked = {"target_type": "person", "filters": {"name": "Petrov"}}
+    assert [tuple(r) for r in answer(model, asked).rows.collect()] == [("Ivan Petrov", 1700, 1750, None)]
+    assert answer(model, {"target_type": "work", "filters": {"name": "Petrov"}}).rows.columns == ["work", "year", "sitelinks"]
+    duel = {"entities": ["Petrov", "Jon Smith"], "aspect": "age", "relation": "fewer"}
+    assert answer(model, {"target_type": "person", "filters": {"compare_entities": duel}}).rows.first().asDict() == {"entity_1": "Ivan Petrov", "entity_2": "Jon Smith", "age_1": 50, "age_2": 51, "answer": True}
+
+
+def test_fuzzy_match_below_the_default_threshold(spark):
+    words = ["abcdefghijk", "abcdef", "abc", "xbcde", "zzzzz", "abcdeabcdeabcdeabcde"]
+    df = spark.createDataFrame([(w,) for w in words], "label string")
+    for threshold in (0.95, 0.9, 0.8, 0.6):
+        got = {r[0] for r in fuzzy_labels(df, "abcde", threshold=threshold).collect()}
+        assert got == {w for w in words if jaro_winkler("abcde", w) >= threshold}
+
+
+def test_training_step_and_command_line(spark, tmp_path, capsys):
+    save(replace(empty_model(spark), items=items_of(spark, [("Q1", "one", None)])), str(tmp_path / "m"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text(json.dumps({"sentence": "s", "intent": {"target_type": "work", "filters": {"name": "one"}}}))
+    (tmp_path / "in/b.json").write_text("no json")
+    (tmp_path / "in/c.json").write_text(json.dumps({"target_type": "work", "filters": {}}))
+    log = tmp_path / "log.jsonl"
+    assert cli.main(["answer", str(tmp_path / "m"), "--folder", str(tmp_path / "in"), "--log", str(log)], spark) == 0
+    done = [json.loads(x) for x in log.read_text().splitlines()]
+    assert [(r["db_status"], r["row_count"], r["sql_source"], r["human_correct"]) for r in done] == [("success", 1, "composer", None), ("unavailable", None, None, None)]
+    assert "Project" in done[0]["gold_sql"] and "no filter" in done[1]["db_error"]
+    assert cli.main(["answer", str(tmp_path / "m"), "--intent", str(tmp_path / "in/a.json")], spark) == 0
+    assert '{"work":"one"}' in capsys.readouterr().out
+    (tmp_path / "e.csv").write_text("Q13418848;Q13418847\n")
+    (tmp_path / "l.csv").write_text("Q13418848;sub;text\n")
+    assert cli.main(["closure", str(tmp_path / "e.csv"), str(tmp_path / "l.csv"), str(tmp_path / "out")], spark) == 0
+    assert ["Q13418848", "sub", "text", "event"] in [list(r) for r in spark.read.csv(str(tmp_path / "out/classes"), sep=";").collect()]
+    assert tables.selection(spark, str(tmp_path / "none"), ("a", "b"))[1] == -1
+    (tmp_path / "sel.csv").write_text("# note\nQ1;x\n\nQ2\n")
+    assert tables.selection(spark, str(tmp_path / "sel.csv"), ("a",))[1] == 2
+
+
+def test_first_wins(spark, tmp_path):
+    df = spark.createDataFrame([("a", "z", 1), ("a", "b", 2), ("c", "d", 1)], "k string, v string, n int")
+    assert sorted(tuple(r) for r in sinks.first_wins(df, ["k"], str(tmp_path / "t"), "n").collect()) == [("a", "z", 1), ("c", "d", 1)]
+    df.where("k = 'c'").write.parquet(str(tmp_path / "t"))
+    assert [tuple(r) for r in sinks.first_wins(df, ["k"], str(tmp_path / "t")).collect()] == [("a", "b", 2)]
 
 
 def test_intents_are_cut_only_by_the_composers_limit(spark):
@@ -128,3 +181,20 @@ def test_streaming_ingest(spark, tmp_path):
     assert ingest(spark, src + "/missing", out, ck) == Status.ERROR
     assert ingest(spark, src, out, ck) == Status.DONE
     assert spark.read.parquet(f"{out}/items").count() == 1
+    # Another chunk: an item that was written before is not written again.
+    (tmp_path / "src/b.json").write_text("\n".join(json.dumps(entity(q)) for q in ("Q1", "Q2")) + "\n")
+    assert ingest(spark, src, out, ck) == Status.DONE
+    assert sorted(r.qid for r in spark.read.parquet(f"{out}/items").collect()) == ["Q1", "Q2"]
+
+
+def test_streaming_ingest_inside_one_file_and_after_an_error(spark, tmp_path, monkeypatch):
+    src, out, ck = (str(tmp_path / x) for x in ("dump.json", "out", "ck"))
+    (tmp_path / "dump.json").write_text("\n".join(json.dumps(entity(f"Q{i}")) for i in range(5)) + "\n")
+    monkeypatch.setattr(dump, "extract", None)
+    assert ingest(spark, src, out, ck, items_per_chunk=2) == Status.ERROR
+    assert ingest(spark, src, out, ck, items_per_chunk=2, max_chunks=1) == Status.ERROR
+    monkeypatch.undo()
+    assert ingest(spark, src, out, ck, items_per_chunk=2, max_chunks=1) == Status.MORE
+    assert spark.read.parquet(f"{out}/items").count() < 5
+    assert ingest(spark, src, out, ck, items_per_chunk=2) == Status.DONE
+    assert sorted(r.qid for r in spark.read.parquet(f"{out}/items").collect()) == [f"Q{i}" for i in range(5)]
