@@ -37,9 +37,16 @@ class Model:
 
     @functools.cached_property
     def lifespan(self) -> DataFrame:
-        """(qid, born, died): the latest birth and death year of every item that has events."""
+        """(qid, born, died): the latest birth and death year of every item that has one of them."""
+        return self.lives()
+
+    def lives(self, of: DataFrame | None = None) -> DataFrame:
+        """`lifespan` of the items of `of` (qid), which are picked before anything is grouped."""
         pick = lambda p: F.max(F.when(F.col("property") == p, F.col("year")))
-        return self.events.groupBy("qid").agg(pick("P569").alias("born"), pick("P570").alias("died"))
+        dated = self.events.where(F.col("property").isin("P569", "P570"))
+        if of is not None:
+            dated = dated.join(of.select("qid").distinct(), "qid", "left_semi")
+        return dated.groupBy("qid").agg(pick("P569").alias("born"), pick("P570").alias("died"))
 
     @functools.cached_property
     def best_sites(self) -> DataFrame:

@@ -76,7 +76,7 @@ class Compiler:
     def anchor(self, mention: str) -> DataFrame:
         """(a_born, a_died): the life of the best-documented item of that name; no row if there is none."""
         named = self.model.items.where(word_match(F.coalesce("label", "label_ru"), mention)).select("qid")
-        lives = self.model.lifespan.where("born IS NOT NULL").join(named, "qid", "left_semi")
+        lives = self.model.lives(named).where("born IS NOT NULL")
         facts = self.model.attributes.join(named, "qid", "left_semi").groupBy("qid").agg(F.count("*").alias("facts"))
         best = lives.join(facts, "qid", "left").orderBy(F.coalesce("facts", F.lit(0)).desc(), "qid").limit(1)
         return best.select(F.col("born").alias("a_born"), F.col("died").alias("a_died"))
@@ -182,7 +182,7 @@ def _facts(model: Model, mention: str, n: int) -> DataFrame:
     people = model.items.select("qid", F.coalesce("label", "label_ru").alias("label")).join(model.of_domain("person"), "qid", "left_semi")
     near = fuzzy_labels(people, mention).select(F.col("label").alias("near"))
     named = people.join(near, people.label == near.near, "left").where(word_match(F.col("label"), mention) | F.col("near").isNotNull()).select("qid", "label")
-    lives = model.lifespan.where("born IS NOT NULL")
+    lives = model.lives(named).where("born IS NOT NULL")
     best = named.join(lives, "qid").join(model.best_sites, "qid", "left").orderBy(F.desc_nulls_last("sitelinks"), "qid").limit(1)
     works = model.attributes.where(F.col("property").isin(*CREATOR_PROPERTIES)).join(best.select(F.col("qid").alias("value")), "value", "left_semi").groupBy(F.col("value").alias("qid")).agg(F.countDistinct("qid").alias("works"))
     countries = model.labelled(CITIZENSHIP).join(best.select("qid"), "qid", "left_semi").groupBy("qid").agg(joined(F.col("vlabel")).alias("country"))

@@ -36,19 +36,19 @@ def items_by_century(model: Model, first: int, last: int) -> DataFrame:
 
 
 def people_of_area(model: Model, country: str, area: str, first: int, last: int) -> DataFrame:
-    lives = model.lifespan.where(F.col("born").between(first, last) | F.col("died").between(first, last))
     in_area = model.occupation_areas.where(F.array_contains(F.split("areas", r"\|"), area)).select(F.col("qid").alias("value"))
     experts = model.attributes.where(F.col("property") == OCCUPATION_PROPERTY).join(in_area, "value", "left_semi").select("qid")
+    lives = model.lives(experts).where(F.col("born").between(first, last) | F.col("died").between(first, last))
     works = model.labelled(OCCUPATION_PROPERTY).select("qid", F.col("vlabel").alias("occupation"))
     citizens = model.labelled(CITIZENSHIP).where(F.col("vlabel").ilike(country)).select("qid", F.col("vlabel").alias("country"))
-    rows = lives.join(experts, "qid", "left_semi").join(citizens, "qid").join(works, "qid").join(model.items.select("qid", "label"), "qid")
+    rows = lives.join(citizens, "qid").join(works, "qid").join(model.items.select("qid", "label"), "qid")
     out = rows.groupBy("label").agg(joined(F.col("occupation")).alias("occupations"), joined(F.col("country")).alias("countries"), F.min("born").alias("born"), F.min("died").alias("died"))
     return out.orderBy(F.asc_nulls_last("born"), "label")
 
 
 def people_by_occupation(model: Model, occupation: str, first: int, last: int) -> DataFrame:
     holders = model.labelled(OCCUPATION_PROPERTY).where(F.col("vlabel") == occupation).select("qid", F.col("vlabel").alias("occupation"))
-    lives = model.lifespan.where(F.col("born").between(first, last))
+    lives = model.lives(holders).where(F.col("born").between(first, last))
     return holders.join(lives, "qid").join(model.items.select("qid", "label"), "qid").select("label", "occupation", "born", "died").orderBy("born")
 
 
@@ -94,5 +94,5 @@ def unresolved_values(model: Model) -> DataFrame:
 
 def works_of_creator(model: Model, creator: str) -> DataFrame:
     made = model.labelled("P50", "P86", "P170").where(F.col("vlabel") == creator).select("qid").distinct()
-    years = model.events.groupBy("qid").agg(F.min("year").alias("year"))
-    return model.items.select("qid", F.col("label").alias("work")).distinct().join(made, "qid", "left_semi").join(years, "qid", "left").select("work", "year").orderBy(F.asc_nulls_last("year"))
+    years = model.events.join(made, "qid", "left_semi").groupBy("qid").agg(F.min("year").alias("year"))
+    return model.items.select("qid", F.col("label").alias("work")).join(made, "qid", "left_semi").distinct().join(years, "qid", "left").select("work", "year").orderBy(F.asc_nulls_last("year"))
