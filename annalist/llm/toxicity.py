@@ -53,16 +53,17 @@ class Linear:
     def __init__(self, rows: list[np.ndarray], y: np.ndarray, chain: np.ndarray, steps: int = 300):
         n, pos = len(y), max(int(y.sum()), 0)
         base = np.clip(pos / n, 1e-3, 1 - 1e-3)
-        every = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        every = np.concatenate(rows) if rows else np.zeros(0, np.int32)
         total = np.bincount(every, minlength=BUCKETS)
-        hit = np.bincount(every, np.repeat(y, [len(r) for r in rows]), BUCKETS)
+        hit = np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, t in zip(rows, y, strict=True) if t)]), minlength=BUCKETS)
         z = np.divide(hit - total * base, np.sqrt(total * base * (1 - base)), out=np.zeros(BUCKETS), where=total >= 4)
         self.features = np.flatnonzero(np.abs(z) >= MIN_Z)
-        slot = np.full(BUCKETS, -1)
+        slot = np.full(BUCKETS, -1, np.int32)
         slot[self.features] = np.arange(len(self.features))
-        owner = np.repeat(np.arange(n), [len(r) for r in rows])
         col = slot[every]
-        owner, col = owner[col >= 0], col[col >= 0]
+        del total, hit, z, every
+        kept = col >= 0
+        owner, col = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[kept], col[kept]
         k, d = len(self.features), chain.shape[1]
         theta = np.zeros(k + d + 1)
         theta[-1] = _logit(np.array(base))
@@ -149,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = sorted(_features(labelled, names).collect(), key=lambda r: zlib.crc32(str(r.id).encode()))
     if not got:
         return None
-    return Chain([np.frombuffer(r.features, np.uint32).astype(np.int64) for r in got], np.array([[r[n] for n in names] for r in got]))
+    return Chain([np.frombuffer(r.features, np.uint32).astype(np.int32) for r in got], np.array([[r[n] for n in names] for r in got]))
 
 
 def label_categories(labels: DataFrame) -> DataFrame:
