@@ -18,6 +18,7 @@ from annalist.constants import ANSWER_PLACES, AREA_WORDS, BIRTH, CITIZENSHIP, CR
 from annalist.functions.text import fuzzy_labels, title_match, word_match
 from annalist.model import Model
 from annalist.plans.library import joined
+from annalist.scratch import written
 
 
 class Unsupported(ValueError):
@@ -182,8 +183,9 @@ def _facts(model: Model, mention: str, n: int) -> DataFrame:
     people = model.items.select("qid", F.coalesce("label", "label_ru").alias("label")).join(model.of_domain("person"), "qid", "left_semi")
     near = fuzzy_labels(people, mention).select(F.col("label").alias("near"))
     named = people.join(near, people.label == near.near, "left").where(word_match(F.col("label"), mention) | F.col("near").isNotNull()).select("qid", "label")
-    lives = model.lives(named).where("born IS NOT NULL")
+    lives = model.lifespan.where("born IS NOT NULL")
     best = named.join(lives, "qid").join(model.best_sites, "qid", "left").orderBy(F.desc_nulls_last("sitelinks"), "qid").limit(1)
+    best = written(best.select("qid", "label", "born", "died"), "entity")  # one row, which the facts below all start from
     works = model.attributes.where(F.col("property").isin(*CREATOR_PROPERTIES)).join(best.select(F.col("qid").alias("value")), "value", "left_semi").groupBy(F.col("value").alias("qid")).agg(F.countDistinct("qid").alias("works"))
     countries = model.labelled(CITIZENSHIP).join(best.select("qid"), "qid", "left_semi").groupBy("qid").agg(joined(F.col("vlabel")).alias("country"))
     out = best.join(works, "qid", "left").join(countries, "qid", "left")

@@ -152,9 +152,14 @@ FROM (SELECT 'Q' || o_orderkey AS qid, 'Order No. ' || o_orderkey AS label, o_or
  FROM {orders})"""
 
 
+def _lines(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """Lines of a dump, spread over the cores as the splits of a real dump would be (the table is one small file)."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").repartition(spark.sparkContext.defaultParallelism)
+    return spark.sql(text, orders=orders)
+
+
 def _dump(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    lines = spark.sql(DUMP_LINES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    entities, _ = dump.parse_entities(lines)
+    entities, _ = dump.parse_entities(_lines(spark, sf_dir, DUMP_LINES))
     return dump.extract(entities, classes=["KU"])
 
 
@@ -190,8 +195,7 @@ FROM {{orders}}"""
 
 
 def _rich(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    lines = spark.sql(RICH_LINES, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
-    return dump.extract(dump.parse_entities(lines)[0], classes=["KA", "KB"])
+    return dump.extract(dump.parse_entities(_lines(spark, sf_dir, RICH_LINES))[0], classes=["KA", "KB"])
 
 
 def rich_events(spark: SparkSession, sf_dir: str) -> DataFrame:

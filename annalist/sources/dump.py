@@ -24,7 +24,8 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_entities(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entities, bad lines). A trailing comma is cut; brackets and broken lines have no id and are bad (brackets are dropped)."""
     text = F.regexp_replace("value", r",\s*$", "")
-    parsed = lines.select(F.col("value").alias("line"), F.from_json(text, ENTITY).alias("e"))
+    # A generator, as the optimiser would parse a line again for every field that a filter or projection takes of it.
+    parsed = lines.select(F.col("value").alias("line"), F.explode(F.array(F.from_json(text, ENTITY))).alias("e"))
     bad = parsed.where("e.id IS NULL AND trim(line) NOT IN ('', '[', ']')").select("line")
     return parsed.where("e.id IS NOT NULL AND e.id <> ''").select("e.*"), bad
 
