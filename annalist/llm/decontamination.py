@@ -3,9 +3,10 @@
 Texts are lower-cased (A-Z) and cut into words of a-z, 0-9 and non-ASCII characters. A window is `k` consecutive words of
 a benchmark item; an item of fewer words is one window, an item without words none. Any occurrence of a window of n words
 covers a whole block of (n + 1) // 2 words that starts at a multiple of that length. So all blocks inside the windows are
-hashed into a bitmap of fixed size that every task holds, each document's aligned blocks are scanned against it, and the
-windows around the few blocks that it lets through are joined with the benchmark's windows, which verifies the hit. The
-windows are broadcast only if there are at most BROADCAST_WINDOWS of them, otherwise both sides are shuffled.
+hashed into a bitmap that every task holds, each document's aligned blocks are scanned against it, and the windows around
+the few blocks that it lets through are joined with the benchmark's windows, which verifies the hit. The bitmap has
+BITS_PER_BLOCK bits a block, from MIN_BITS to MAX_BITS; beyond that it lets more blocks through, with the same result. The
+windows are broadcast only if they and their items take at most BROADCAST_BYTES, otherwise both sides are shuffled.
 Null texts have no words and no hits; an empty benchmark hits nothing. Every row gives one row, repeated ones and ones of a
 null id too. A shuffled window is salted, so that one that a third of all texts hold is spread over SALTS tasks.
 """
@@ -17,8 +18,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITMAP_BITS = 1 << 20
-BROADCAST_WINDOWS = 200_000
+BITS_PER_BLOCK = 16
+MIN_BITS, MAX_BITS = 1 << 20, 1 << 24
+BROADCAST_BYTES = 32 << 20
 SALTS = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAPS = "".join(map(chr, (*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80))))
@@ -53,13 +55,18 @@ def _block_hashes(b: int) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda m: F.xxhash64(F.slice("w", m * b + 1, b))))
 
 
-def _candidates(n: int, bitmap: Column) -> Column:
-    """The windows of n words around the aligned blocks (hashes in column k<n>) that the bitmap has."""
+def bitmap_bits(blocks: int) -> int:
+    """Bits of the bitmap of so many blocks: a power of two."""
+    return min(max(1 << (BITS_PER_BLOCK * blocks - 1).bit_length(), MIN_BITS), MAX_BITS)
+
+
+def _candidates(n: int, bitmap: Column, bits: int) -> Column:
+    """The windows of n words around the aligned blocks (hashes in column k<n>) that the bitmap of so many bits has."""
     b, size = block_size(n), F.size("w")
 
     def seen(m: Column) -> Column:
         key = F.element_at(f"k{n}", m + 1)
-        lane = F.pmod(F.shiftright(key, 6), F.lit(BITMAP_BITS // 64)).cast("int")
+        lane = F.pmod(F.shiftright(key, 6), F.lit(bits // 64)).cast("int")
         return F.getbit(F.element_at(bitmap, lane + 1), key.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     def around(m: Column) -> Column:
@@ -78,26 +85,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, k: int = 8, id_col: str = "doc_i
     """(id_col, n_words, hit: sorted positions of hit words, items: sorted ids of items with occurring windows)."""
     windows = benchmark_windows(benchmark, k, item_col)
     inside = F.expr("transform(sequence(1, len - (len + 1) div 2 + 1), i -> xxhash64(slice(split(window, ' '), cast(i as int), cast((len + 1) div 2 as int))))")
-    blocks = windows.select("len", F.explode(inside).alias("key")).distinct()
-    lanes = blocks.select("len", F.pmod(F.shiftright("key", 6), F.lit(BITMAP_BITS // 64)).alias("lane"), F.col("key").bitwiseAND(F.lit(63)).alias("bit"))
-    lanes = lanes.groupBy("len", "lane").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
-    found: dict[int, list[int]] = {}
-    total = windows.count()
-    for row in lanes.collect():  # at most k * BITMAP_BITS / 64 rows, whatever the benchmark
-        found.setdefault(row.len, [0] * (BITMAP_BITS // 64))[row.lane] = row.bits
+    held = F.octet_length("window") + F.octet_length(F.array_join(F.col("items").cast("array<string>"), ",")) + 16 * F.size("items") + 64
+    sizes = windows.groupBy("len").agg(F.sum(F.size(inside)).alias("blocks"), F.sum(held.cast("long")).alias("held")).collect()  # k rows at most
+    bits = {row.len: bitmap_bits(row.blocks) for row in sizes}
+    found = {n: [0] * (size // 64) for n, size in bits.items()}
+    if bits:
+        mask = F.element_at(F.create_map(*(F.lit(x) for n, size in bits.items() for x in (n, size // 64))), F.col("len"))
+        blocks = windows.select("len", F.explode(inside).alias("key")).select("len", F.pmod(F.shiftright("key", 6), mask).alias("lane"), F.col("key").bitwiseAND(F.lit(63)).alias("bit"))
+        lanes = blocks.groupBy("len", "lane").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("bits"))
+        for row in lanes.collect():  # at most k * MAX_BITS / 64 rows, whatever the benchmark
+            found[row.len][row.lane] = row.bits
     base = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"), F.monotonically_increasing_id().alias("row"), words(F.col(text_col)).alias("w"))
     names = []
     for n in sorted(found):
         base = base.withColumn(f"k{n}", _block_hashes(block_size(n)))
         names.append(n)
     parts = [F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("len"), F.lit("").alias("window")))]
-    parts += [_candidates(n, F.from_json(F.lit(json.dumps(found[n])), "array<bigint>")) for n in names]
+    parts += [_candidates(n, F.from_json(F.lit(json.dumps(found[n])), "array<bigint>"), bits[n]) for n in names]
     near = base.select("id", "h", "row", F.size("w").cast("long").alias("n_words"), F.explode(F.concat(*parts)).alias("c")).select("id", "h", "row", "n_words", "c.*")
-    if total <= BROADCAST_WINDOWS:
+    if sum(row.held for row in sizes) <= BROADCAST_BYTES:
         met = near.join(F.broadcast(windows), ["len", "window"], "left")
     else:
         spread = windows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = near.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread, ["len", "window", "salt"], "left")
+        met = near.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["len", "window", "salt"], "left")  # never broadcast by an estimate
     met = met.where("at = -1 OR items IS NOT NULL")
     spans = F.collect_list(F.when(F.col("at") >= 0, F.sequence(F.col("at"), F.col("at") + F.col("len") - 1)))
     out = met.groupBy("id", "h", "row", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(spans))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -414,8 +414,9 @@ def test_jaccard_join_of_odd_rows(spark, odd):
 
 def test_decontamination_of_odd_rows(spark, odd, monkeypatch):
     bench = spark.createDataFrame([("a", "one two three four five six"), (None, "end"), ("b", None), ("c", "same id")], "item_id string, text string").withColumn("hit", F.lit(1))
-    for broadcast in (200_000, 0):
-        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", broadcast)
+    for broadcast, least, most in ((1 << 25, 1 << 20, 1 << 24), (0, 1 << 20, 1 << 24), (0, 64, 64)):  # the last bitmap lets every block through
+        for name, value in (("BROADCAST_BYTES", broadcast), ("MIN_BITS", least), ("MAX_BITS", most)):
+            monkeypatch.setattr(decontamination, name, value)
         got = sorted(((r.doc_id, r.n_words, len(r.hit), list(r["items"])) for r in decontamination.hits(odd, bench).collect()), key=str)
         assert got == sorted([(1, 6, 6, ["a"]), (1, 6, 6, ["a"]), (None, 6, 6, ["a"]), (2, 0, 0, []), (3, 0, 0, []), (None, 0, 0, []), (4, 5001, 0, []), (4, 6, 2, ["c"])], key=str)
     left = decontamination.decontaminate(odd, bench)
@@ -424,6 +425,17 @@ def test_decontamination_of_odd_rows(spark, odd, monkeypatch):
     assert decontamination.hits(odd.limit(0), bench).count() == decontamination.decontaminate(odd.limit(0), bench).count() == 0
 
 
+def test_windows_of_a_large_benchmark_are_not_broadcast(spark, monkeypatch):
+    assert [decontamination.bitmap_bits(n) for n in (1, 1 << 16, (1 << 16) + 1, 1 << 30)] == [1 << 20, 1 << 20, 1 << 21, 1 << 24]
+    bench = spark.createDataFrame([("a", "one two three four five six seven eight")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "zero one two three four five six seven eight nine"), (2, "one two")], DOCS)
+    for held, merged in ((1 << 25, 0), (0, 1)):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", held)
+        found = decontamination.hits(docs, bench)
+        assert sorted((r.doc_id, list(r.hit)) for r in found.collect()) == [(1, list(range(1, 9))), (2, [])]
+        assert str(found._jdf.queryExecution().sparkPlan()).count("SortMergeJoin") == merged
+
+
 def test_decontamination_of_long_gaps_takes_linear_time(spark):
     import time
 
