@@ -12,16 +12,20 @@ from annalist.scratch import written
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(qid, root): every descendant-or-self of every root. edges: (child, parent), cycles allowed; seeds: (qid, root)."""
-    seen = written(seeds.select("qid", "root").distinct())
-    frontier = seen
+    """(qid, root): every descendant-or-self of every root. edges: (child, parent), cycles allowed; seeds: (qid, root).
+
+    Each round's new pairs are written once; all pairs so far are one scan of the rounds' files, so no pair is written again.
+    """
+    frontier = written(seeds.select("qid", "root").distinct())
+    seen, rounds = frontier, [frontier.written_to]
     links = edges.select("child", F.col("parent").alias("qid")).distinct()
     while True:
         step = frontier.join(links, "qid").select(F.col("child").alias("qid"), "root").distinct()
         frontier = written(step.join(seen, ["qid", "root"], "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = written(seen.unionByName(frontier))
+        rounds.append(frontier.written_to)
+        seen = edges.sparkSession.read.schema(frontier.schema).parquet(*rounds)
 
 
 def seed_rows(seeds: DataFrame, instances: DataFrame) -> DataFrame:

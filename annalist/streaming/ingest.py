@@ -8,6 +8,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 
 from annalist import sinks
+from annalist.scratch import cleared
 from annalist.sources import dump
 from annalist.sources.tables import exists
 
@@ -54,12 +55,13 @@ def ingest(spark: SparkSession, source: str, output: str, checkpoint: str, files
 
     def write(batch: DataFrame, epoch: int) -> None:
         nonlocal done
-        entities, bad = dump.parse_entities(batch)
-        for name, table in dump.extract(entities, **options).items():
-            if name in ("items", "items_not_used"):
-                table = sinks.first_wins(table, ["qid"], f"{output}/{name}", but=f"batch = {epoch}")
-            sinks.replace(table, f"{output}/{name}/batch={epoch}")
-        sinks.replace(bad, f"{output}/bad_lines/batch={epoch}")
+        with cleared(batch.sparkSession):
+            entities, bad = dump.parse_entities(batch)
+            for name, table in dump.extract(entities, **options).items():
+                if name in ("items", "items_not_used"):
+                    table = sinks.first_wins(table, ["qid"], f"{output}/{name}", but=f"batch = {epoch}")
+                sinks.replace(table, f"{output}/{name}/batch={epoch}")
+            sinks.replace(bad, f"{output}/bad_lines/batch={epoch}")
         done += 1
 
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", files_per_chunk).load(source)

@@ -2,6 +2,7 @@
 
 import json
 from dataclasses import replace
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -15,6 +16,7 @@ from annalist.operators import closure as graph
 from annalist.operators.resolve import resolve_lines
 from annalist.plans import library, registry
 from annalist.plans.intent import Unsupported, answer
+from annalist.scratch import shared_dir
 from annalist.sources import dump, intents, tables
 from annalist.streaming.ingest import Status, ingest
 
@@ -198,3 +200,20 @@ def test_streaming_ingest_inside_one_file_and_after_an_error(spark, tmp_path, mo
     assert spark.read.parquet(f"{out}/items").count() < 5
     assert ingest(spark, src, out, ck, items_per_chunk=2) == Status.DONE
     assert sorted(r.qid for r in spark.read.parquet(f"{out}/items").collect()) == [f"Q{i}" for i in range(5)]
+
+
+def test_ingest_leaves_no_intermediate_tables(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("src", "out", "ck"))
+    spark.createDataFrame([(json.dumps(entity(f"Q{i}")),) for i in range(4)], "value string").coalesce(1).write.text(src)
+    held = set(Path(shared_dir(spark)).iterdir())
+    assert ingest(spark, src, out, ck) == Status.DONE
+    assert spark.read.parquet(out + "/items").count() == 4
+    assert set(Path(shared_dir(spark)).iterdir()) == held
+
+
+def test_closure_of_a_long_chain_with_a_cycle(spark):
+    edges = spark.createDataFrame([(f"N{i + 1}", f"N{i}") for i in range(6)] + [("N2", "N5"), ("N1", "N6")], "child string, parent string")
+    seeds = spark.createDataFrame([("N0", "N0"), ("N4", "N4"), ("X", "X"), ("N0", "N0")], "qid string, root string")
+    got = sorted((r.root, r.qid) for r in graph.closure(edges, seeds).collect())
+    assert got == sorted([("N0", f"N{i}") for i in range(7)] + [("N4", f"N{i}") for i in range(1, 7)] + [("X", "X")])
+    assert graph.closure(edges, seeds.limit(0)).count() == 0
