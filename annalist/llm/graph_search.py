@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from annalist.llm.common import materialize, tidy
+from annalist.llm.common import discard, materialize, tidy
 
 SHARD = 4096
 DEGREE = 32
@@ -203,7 +203,9 @@ def build(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "em
         yield pa.RecordBatch.from_arrays(columns, names=["dim", "shard", "width", "points", "ids", "edges"])
 
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
-    return materialize(dealt.groupBy("dim", "shard").applyInArrow(tidy(make), "dim int, shard int, width int, points binary, ids array<array<long>>, edges binary"), "graphs")
+    graphs = materialize(dealt.groupBy("dim", "shard").applyInArrow(tidy(make), "dim int, shard int, width int, points binary, ids array<array<long>>, edges binary"), "graphs")
+    discard(nodes)
+    return graphs
 
 
 def search(graphs: DataFrame, queries: DataFrame, k: int, beam: int = BEAM, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
