@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.llm import byte_bpe, decontamination, jaccard_join, substring_dedup, toxicity
-from annalist.llm.common import materialize
+from annalist.llm.common import discard, materialize
 from annalist.llm.queries import table
 
 
-
 def _resized(docs: DataFrame) -> DataFrame:
     return docs.withColumn("n_chars", F.length("text").cast("long").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
 
@@ -63,7 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
